@@ -34,9 +34,14 @@ def _local_union(cell: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"v": names, "root": names[parent]})
 
 
+def grid_blocks(n: int, cell_edges: int) -> int:
+    """Blocks the vertices are hashed into, so that an average cell of the half grid has about ``cell_edges`` edges."""
+    return 1 if n <= cell_edges else min(MAX_BLOCKS, math.ceil(math.sqrt(2 * n / cell_edges)))
+
+
 def _round(edges: DataFrame, n: int, cell_edges: int) -> DataFrame:
     """Local union-find on every cell of the grid: rows (v, root), one for each cell that holds v."""
-    blocks = min(MAX_BLOCKS, max(1, math.ceil(math.sqrt(2 * n / cell_edges))))
+    blocks = grid_blocks(n, cell_edges)
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
     ba, bb = block("a"), block("b")
     grid = edges.select("a", "b", F.least(ba, bb).alias("row"), F.greatest(ba, bb).alias("col"))
@@ -60,11 +65,10 @@ def connected_labels(edges: DataFrame, cell_edges: int = 250_000) -> DataFrame:
     edges = cut(edges)
     while n := edges.count():
         stars = _round(edges, n, cell_edges)
-        one_cell = 2 * n <= cell_edges * 2 and n <= cell_edges
         # a vertex lies in at most one row and one column of cells, so its set of representatives is bounded by the grid
         seen = cut(stars.groupBy("v").agg(F.min("root").alias("p"), F.collect_set("root").alias("roots")))
         parents.append(seen.select("v", "p"))
-        if one_cell:
+        if grid_blocks(n, cell_edges) == 1:
             break
         rest = seen.select("p", F.explode(F.expr("filter(roots, r -> r <> p)")).alias("r"))
         edges = cut(rest.select(F.col("p").alias("a"), F.col("r").alias("b")).distinct())
