@@ -10,6 +10,7 @@ from ..functions import plain_path
 from ..runtime import cut, table
 from .components import consolidate_pairs
 from .density import DensityPeaks
+from .docpairs import paired_functions
 from .leaks import leaked_items
 from .packing import pack, token_counts
 from .repetition import repetition
@@ -187,3 +188,22 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated words of every document, counted exactly for all of them: the bands' share is 0."""
     return repetition(table(spark, sf_dir, "documents").where("text is not null"), share=0.0).select("doc_id", "n_words", F.coalesce("repeated", F.lit(0)).alias("repeated"))
+
+
+# --- 6: functions paired with their documentation ---
+
+
+def _code(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return table(spark, sf_dir, name).withColumn("file", plain_path("file"))
+
+
+@query("p6_found")
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions with a description of their own that is not trivial."""
+    return p6_pairs(spark, sf_dir).where("depth = 0").select("file", "line", "name", "doc_line")
+
+
+@query("p6_pairs")
+def p6_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions with their description, inherited ones included."""
+    return paired_functions(_code(spark, sf_dir, "comments"), _code(spark, sf_dir, "functions"), _code(spark, sf_dir, "structs"))
