@@ -11,6 +11,7 @@ from ..runtime import cut, table
 from .components import consolidate_pairs
 from .density import DensityPeaks
 from .docpairs import paired_functions
+from .hidden_language import hidden_text, running_text
 from .leaks import leaked_items
 from .packing import pack, token_counts
 from .repetition import repetition
@@ -207,3 +208,21 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Functions with their description, inherited ones included."""
     return paired_functions(_code(spark, sf_dir, "comments"), _code(spark, sf_dir, "functions"), _code(spark, sf_dir, "structs"))
+
+
+# --- 5: natural language hidden inside code ---
+
+
+@query("p5_found")
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comments that hold running text of a language."""
+    return hidden_text(_code(spark, sf_dir, "comments"), ["file", "line"]).where(running_text()).select("file", "line", "nl_lang").distinct()
+
+
+@query("p5_shares")
+def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's share of the characters of a file's comments."""
+    c = _code(spark, sf_dir, "comments")
+    spans = hidden_text(c, ["file", "line"]).groupBy("file", "nl_lang").agg(F.sum("span").alias("span"))
+    total = c.where("text is not null").select("file", "line", "text").distinct().groupBy("file").agg(F.sum(F.length("text")).alias("chars"))
+    return spans.join(total, "file").select("file", "nl_lang", "span", "chars", F.least(F.lit(1.0), F.col("span") / F.col("chars")).alias("share"))
