@@ -39,20 +39,25 @@ class BoundedHeap:
         del best[self.n :]
 
 
-def _heaps(group: str, score: str, ids: list[str], n: int, schema: pa.Schema):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heaps: dict = {}
+def _rows(b: pa.RecordBatch, group: str, score: str, ids: list[str]) -> Iterator[tuple]:
+    """(group, -score, identifier) of every row."""
+    worse = (-s for s in b.column(score).to_pylist())
+    return zip(b.column(group).to_pylist(), worse, zip(*(b.column(c).to_pylist() for c in ids), strict=True), strict=True)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    cols = zip(*rows, strict=True) if rows else [[] for _ in schema]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
 
-        def flush() -> pa.RecordBatch:
-            rows = [(g, -e[0], *e[1]) for g, h in heaps.items() for e in h.best]
-            cols = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]
-            heaps.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
 
+def _fill(group: str, score: str, ids: list[str], n: int, schema: pa.Schema):
+    """Heaps of the groups in a partition, before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heaps: dict = {}
+        flush = lambda: _batch([(g, -s, *i) for g, h in heaps.items() for s, i in h.best], schema)
         for b in batches:
-            keys = b.column(group).to_pylist()
-            worse = (-s for s in b.column(score).to_pylist())
-            for g, s, i in zip(keys, worse, zip(*(b.column(c).to_pylist() for c in ids), strict=True), strict=True):
+            for g, s, i in _rows(b, group, score, ids):
                 h = heaps.get(g)
                 if h is None:
                     h = heaps[g] = BoundedHeap(n)
@@ -61,11 +66,31 @@ def _heaps(group: str, score: str, ids: list[str], n: int, schema: pa.Schema):
                 h.add((s, i))
             if len(heaps) > MAX_GROUPS:
                 yield flush()
+                heaps.clear()
         yield flush()
 
     return run
 
 
+def _merge(group: str, score: str, ids: list[str], n: int, schema: pa.Schema):
+    """Heaps of the same group put together, after the shuffle; rows come sorted by group, so one heap is open at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, heap = None, BoundedHeap(n)
+        close = lambda: [(now, k, -s, *i) for k, (s, i) in enumerate(heap.best, 1)]
+        for b in batches:
+            out: list[tuple] = []
+            for g, s, i in _rows(b, group, score, ids):
+                if g != now:
+                    out += close()
+                    now, heap = g, BoundedHeap(n)
+                heap.add((s, i))
+            yield _batch(out, schema)
+        yield _batch(close(), schema)
+
+    return run
+
+
 def top_n(df: DataFrame, group: str, score: str, ids: list[str], n: int = 3, place: str = "place") -> DataFrame:
     """The ``n`` best rows of every ``group`` by ``score`` descending, then by ``ids`` ascending, with their ``place`` from 1.
 
@@ -82,9 +107,8 @@ def top_n(df: DataFrame, group: str, score: str, ids: list[str], n: int = 3, pla
         ok = ok & F.col(c).isNotNull()
     src = df.where(ok).select(group, (F.col(score).cast("double") + F.lit(0.0)).alias(score), *ids)
     types = {T.StringType(): pa.string(), T.LongType(): pa.int64(), T.DoubleType(): pa.float64(), T.IntegerType(): pa.int32()}
-    schema = pa.schema([(c, types[src.schema[c].dataType]) for c in cols])
-    heaps = _heaps(group, score, ids, n, schema)
-    merged = src.mapInArrow(heaps, src.schema).repartition(group).mapInArrow(heaps, src.schema)
-    best = F.array_sort(F.collect_list(F.struct((-F.col(score)).alias("s"), *ids)))  # n entries a group, all in one partition
-    ranked = merged.groupBy(group).agg(best.alias("b")).select(group, F.posexplode("b").alias("k", "e"))
-    return ranked.select(group, (F.col("k") + 1).cast("long").alias(place), (-F.col("e.s")).alias(score), *[f"e.{c}" for c in ids])
+    arrow = [(c, types[src.schema[c].dataType]) for c in cols]
+    out = T.StructType([src.schema[group], T.StructField(place, T.LongType()), *[src.schema[c] for c in cols[1:]]])
+    filled = src.mapInArrow(_fill(group, score, ids, n, pa.schema(arrow)), src.schema)
+    merge = _merge(group, score, ids, n, pa.schema([arrow[0], (place, pa.int64()), *arrow[1:]]))
+    return filled.repartition(group).sortWithinPartitions(group).mapInArrow(merge, out)
