@@ -21,6 +21,9 @@ MATCH, RUN = 6, 16
 #: They follow from the format: with a share s of words in runs of at least 16 bytes, each of which costs at most MATCH
 #: bytes, and the rest stored as it is, the ratio is at most (1 - s) + s * MATCH / RUN + FRAME / bytes.
 SHORTEST = 16
+#: Odd factors that scatter word numbers over all values of two and four bytes, one to one: neighbouring numbers then share
+#: no byte, so nothing but repeated runs of words makes a text smaller.
+SCATTER = {2: np.uint16(0x9E37), 4: np.uint32(0x9E3779B1)}
 #: A text whose words all differ is incompressible from this ratio on.
 INCOMPRESSIBLE = 0.97
 
@@ -38,8 +41,8 @@ def repeated_words(ids: np.ndarray, k: int) -> int:
     if n <= 0:
         return 0
     raw, w = ids.tobytes(), ids.itemsize
-    first, add, width = set(), None, k * w
-    add = first.add
+    first: set[bytes] = set()
+    add, width = first.add, k * w
     again = []
     for p in range(0, n * w, w):
         g = raw[p : p + width]
@@ -59,8 +62,8 @@ def repeated_words(ids: np.ndarray, k: int) -> int:
 def measure(text: str | None, share: float, k: int, pack: zstandard.ZstdCompressor) -> tuple:
     """(n_words, ratio, chunks, dense_chunks, band, repeated) of one text.
 
-    The text is compressed as the sequence of its words, each a number of its own in two bytes (four beyond 65,536
-    different ones), so layout and the length of words have no weight. Whole text and fixed chunks get a ratio. Bands:
+    The text is compressed as the sequence of its words, each a scattered number of its own in two bytes (four beyond 65,536
+    different ones), so layout, the length of words and common letters have no weight. Whole text and fixed chunks get a ratio. Bands:
     'short' (too few words to repeat any), 'incompressible', 'clean' (above the limit of its length), 'repetitive'.
     The exact share is counted for the last only; in the others no text can reach ``share``.
     """
@@ -72,7 +75,7 @@ def measure(text: str | None, share: float, k: int, pack: zstandard.ZstdCompress
         # too short for the ratios to say anything; the exact count costs next to nothing
         return n, None, 0, 0, "short", repeated_words(np.array(ids, np.uint16), k)
     a = np.array(ids, np.uint16 if len(seen) <= 65_536 else np.uint32)
-    raw = a.tobytes()
+    raw = (a * SCATTER[a.itemsize]).tobytes()
     ratio = len(pack.compress(raw)) / len(raw)
     limit = ratio_limit(len(raw), share)
     size = CHUNK * a.itemsize

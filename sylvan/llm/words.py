@@ -2,16 +2,14 @@
 from __future__ import annotations
 
 import re
-import sys
-import unicodedata
 
 import numpy as np
+import regex
 
-#: Number signs that are no letters, though \w holds them: fractions, superscripts, Roman numerals.
-_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("No", "Nl"))
-#: Runs of letters or digits, and runs of letters, in text that is already in lower case.
+#: Runs of letters or digits, and runs of letters, in text that is already in lower case. ``\\w`` without digits would still
+#: hold fractions and superscripts, so letters are matched by their Unicode category.
 WORD = re.compile(r"[^\W_]+")
-LETTERS = re.compile(rf"[^\W\d_{_NUMBERS}]+")
+LETTERS = regex.compile(r"\p{L}+")
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
