@@ -47,52 +47,53 @@ class DensityPeaks:
         self.records = cut(records.where(usable).select(*ids, *measures).distinct())
         self.points = cut(self.records.groupBy(*measures).agg(F.count("*").alias("density")))
         self.total = self.records.count()
-        self.neighbours = cut(self._neighbours())
-        self.stats = cut(self._stats())
+        self._peaks: DataFrame | None = None
 
-    def _neighbours(self) -> DataFrame:
-        """(a_*, a_density, b_*, b_density) for every two different points near each other, both ways."""
-        cells, reach = [], []
+    def _blocks(self, reach: bool) -> list[tuple[str, Column]]:
+        """Cells of a point, or the cells that its neighbours can lie in."""
+        out = []
         for k, m in enumerate(self.measures):
             s = _scale(F.col(m), self.step, self.percent)
-            cells.append(F.floor(s / CELL).alias(f"c{k}"))
             lo, hi = F.floor((s - 1 - 1e-9) / CELL), F.floor((s + 1 + 1e-9) / CELL)
-            reach.append((f"c{k}", F.array_distinct(F.array(lo, hi))))
-        key = [f"c{k}" for k in range(len(self.measures))]
-        b = self.points.select(*[F.col(m).alias(f"b_{m}") for m in self.measures], F.col("density").alias("b_density"), *cells)
-        a = self.points.select(*[F.col(m).alias(f"a_{m}") for m in self.measures], F.col("density").alias("a_density"), *[r.alias(f"r_{c}") for c, r in reach])
-        for c, _ in reach:
-            a = a.withColumn(c, F.explode(f"r_{c}")).drop(f"r_{c}")
+            out.append((f"__c{k}", F.explode(F.array_distinct(F.array(lo, hi))) if reach else F.floor(s / CELL)))
+        return out
+
+    def _neighbours(self, centres: DataFrame | None = None) -> DataFrame:
+        """(a_*, a_density, b_*, b_density): for every point a the points b near it but itself; b out of ``centres`` if given."""
+        b, few = (self.points, False) if centres is None else (centres, True)
+        b = b.select(*[F.col(m).alias(f"b_{m}") for m in self.measures], F.col("density").alias("b_density"), *[c.alias(k) for k, c in self._blocks(False)])
+        a = self.points
+        for k, c in self._blocks(True):  # one generator at a time
+            a = a.withColumn(k, c)
+        a = a.select(*[F.col(m).alias(f"a_{m}") for m in self.measures], F.col("density").alias("a_density"), *[k for k, _ in self._blocks(False)])
         close = reduce(lambda x, m: x & near(F.col(f"a_{m}"), F.col(f"b_{m}"), self.step, self.percent), self.measures, F.lit(True))
         other = reduce(lambda x, m: x | (F.col(f"a_{m}") != F.col(f"b_{m}")), self.measures, F.lit(False))
-        return a.join(b, key).where(close & other).drop(*key)
-
-    def _stats(self) -> DataFrame:
-        """Points with ``mass`` (records of the point and those near), ``up`` (nearest denser neighbour, null if none), ``gap`` (distance to it), ``peak``."""
-        a, b = F.struct(*[F.col(f"a_{m}") for m in self.measures]), F.struct(*[F.col(f"b_{m}").alias(m) for m in self.measures])
-        denser = (F.col("b_density") > F.col("a_density")) | ((F.col("b_density") == F.col("a_density")) & (F.struct(*[F.col(f"b_{m}") for m in self.measures]) < a))
-        gap = F.sqrt(reduce(lambda x, y: x + y, [F.pow(_scale(F.col(f"a_{m}"), self.step, self.percent) - _scale(F.col(f"b_{m}"), self.step, self.percent), F.lit(2)) for m in self.measures]))
-        around = self.neighbours.groupBy(*[F.col(f"a_{m}").alias(m) for m in self.measures]).agg(
-            F.sum("b_density").alias("others"),
-            F.max("b_density").alias("top"),
-            F.min(F.when(denser, F.struct(F.round(gap, 9).alias("gap"), (-F.col("b_density")).alias("d"), b.alias("at")))).alias("up"),
-        )
-        p = self.points.join(around, self.measures, "left")
-        mass = F.col("density") + F.coalesce("others", F.lit(0))
-        part, whole = self.share
-        return p.select(
-            *self.measures, "density", mass.alias("mass"), F.col("up.at").alias("up"), F.col("up.gap").alias("gap"),
-            (F.coalesce(F.col("density") > F.col("top"), F.lit(True)) & (mass * whole >= F.lit(self.total) * part)).alias("peak"),
-        )
+        cells = [k for k, _ in self._blocks(False)]
+        return a.join(F.broadcast(b) if few else b, cells).where(close & other).drop(*cells)
 
     def peaks(self) -> DataFrame:
         """Measures, density and mass of the peaks."""
-        return self.stats.where("peak").select(*self.measures, "density", "mass")
+        if self._peaks is None:
+            around = self._neighbours().groupBy(*[F.col(f"a_{m}").alias(m) for m in self.measures]).agg(F.sum("b_density").alias("others"), F.max("b_density").alias("top"))
+            mass = F.col("density") + F.coalesce("others", F.lit(0))
+            part, whole = self.share
+            held = (mass * whole >= F.lit(self.total) * part) & F.coalesce(F.col("density") > F.col("top"), F.lit(True))
+            self._peaks = cut(self.points.join(around, self.measures, "left").where(held).select(*self.measures, "density", mass.alias("mass")))
+        return self._peaks
+
+    def pointers(self) -> DataFrame:
+        """Points with ``up``, their nearest denser neighbour, and ``gap``, the distance to it; both null if there is none."""
+        a, b = F.struct(*[F.col(f"a_{m}") for m in self.measures]), F.struct(*[F.col(f"b_{m}").alias(m) for m in self.measures])
+        denser = (F.col("b_density") > F.col("a_density")) | ((F.col("b_density") == F.col("a_density")) & (b < a))
+        bend = lambda m: _scale(F.col(m), self.step, self.percent)
+        gap = F.sqrt(reduce(lambda x, y: x + y, [F.pow(bend(f"a_{m}") - bend(f"b_{m}"), F.lit(2)) for m in self.measures]))
+        up = self._neighbours().where(denser).groupBy(*[F.col(f"a_{m}").alias(m) for m in self.measures]).agg(F.min(F.struct(F.round(gap, 9).alias("gap"), (-F.col("b_density")).alias("d"), b.alias("at"))).alias("up"))
+        return self.points.join(up, self.measures, "left").select(*self.measures, "density", F.col("up.at").alias("up"), F.col("up.gap").alias("gap"))
 
     def labels(self) -> DataFrame:
         """Every point with ``label``, the struct of the measures of the point its pointers lead to. Pointers double in length each round."""
         me = F.struct(*self.measures)
-        now = cut(self.stats.select(me.alias("point"), F.coalesce("up", me).alias("label")))
+        now = cut(self.pointers().select(me.alias("point"), F.coalesce("up", me).alias("label")))
         while True:
             nxt = now.select(F.col("point").alias("label"), F.col("label").alias("beyond"))
             step = cut(now.join(nxt, "label").select("point", F.col("beyond").alias("label"), (F.col("beyond") != F.col("label")).alias("moved")))
@@ -106,9 +107,12 @@ class DensityPeaks:
         return self.records.join(label, self.measures)
 
     def near_peaks(self) -> DataFrame:
-        """Every record near a peak, or on it: ids and the peak's measures; a record near two peaks comes twice."""
-        peak = self.peaks().select(*[F.col(m).alias(f"b_{m}") for m in self.measures])
-        own = self.peaks().select(*self.measures, *[F.col(m).alias(f"b_{m}") for m in self.measures])
-        pairs = self.neighbours.join(peak, [f"b_{m}" for m in self.measures]).select(*[F.col(f"a_{m}").alias(m) for m in self.measures], *[f"b_{m}" for m in self.measures])
-        hit = own.unionByName(pairs)
-        return self.records.join(hit, self.measures).select(*self.ids, *[F.col(f"b_{m}").alias(m) for m in self.measures])
+        """Every record near a peak, or on it: ids and the peak's measures; a record near two peaks comes twice.
+
+        The peaks are broadcast: each holds ``share`` of all records with its neighbours, and a record is near few peaks,
+        as they are not near each other (3 to the number of measures at most), so their number has a bound.
+        """
+        peaks = self.peaks()
+        own = peaks.select(*self.measures, *[F.col(m).alias(f"b_{m}") for m in self.measures])
+        pairs = self._neighbours(peaks).select(*[F.col(f"a_{m}").alias(m) for m in self.measures], *[f"b_{m}" for m in self.measures])
+        return self.records.join(own.unionByName(pairs), self.measures).select(*self.ids, *[F.col(f"b_{m}").alias(m) for m in self.measures])
