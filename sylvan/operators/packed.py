@@ -6,14 +6,15 @@ Grammar (ordered choice, first alternative that matches wins; a failing one back
     whole   <- space open list close space EOF      # brackets round the whole list only
     list    <- value? (delim value?)*
     value   <- piece+                               # trimmed
-    piece   <- quoted / bracketed / char
+    piece   <- quoted / section / bracketed / char
     quoted  <- q (!q . / q q)* q &(space (delim / close / EOF))   # only at the start of a value
+    section <- q (!q . / q q)* q !letter                          # quotes inside a value, which keeps them; not behind a letter
     bracketed <- open (quoted-inside / bracketed / !close .)* close
     delim   <- [,;|/&+\\t\\n\\r] / space 'and' space
     char    <- !delim .
 
-A quote that never closes, or closes in the middle of a word, makes ``quoted`` fail; the grammar then
-backtracks, takes the quote as an ordinary character and sets ``bad_quote``. A bracket without its
+A quote that never closes, or closes in the middle of a word, makes ``quoted`` and ``section`` fail; the grammar
+then backtracks, takes the quote as an ordinary character and sets ``bad_quote``. A bracket without its
 partner is taken as a character likewise and sets ``bad_bracket``.
 """
 from __future__ import annotations
@@ -61,8 +62,8 @@ class _Peg:
             i += 1
         return i
 
-    def quoted(self, i: int) -> int:
-        """A whole value in quotes; a doubled quote inside stands for one."""
+    def quoted(self, i: int, whole: bool = True) -> int:
+        """A value in quotes, or with ``whole`` off a section of one; a doubled quote inside stands for one."""
         q, j = self.s[i], i + 1
         while True:
             j = self.s.find(q, j, self.end)
@@ -72,7 +73,9 @@ class _Peg:
                 j += 2
                 continue
             k = self.space(j + 1)
-            return j + 1 if k >= self.end or self.delim(k) > 0 or self.delim(j + 1) > 0 else -1
+            if k >= self.end or self.delim(k) > 0 or self.delim(j + 1) > 0:
+                return j + 1
+            return -1 if whole or self.s[j + 1].isalnum() else j + 1
 
     def bracketed(self, i: int) -> int:
         """Behind the partner of the bracket at ``i``, or -1. All partners are found in one pass and remembered."""
@@ -111,7 +114,7 @@ class _Peg:
         return None
 
     def values(self) -> list[str]:
-        out, i, begin = [], self.start, self.start
+        out, i, begin, lone = [], self.start, self.start, set()
         quoted_to = -1
 
         def emit(stop: int) -> None:
@@ -135,13 +138,19 @@ class _Peg:
             if fresh and c.isspace():
                 i += 1
                 continue
-            if c in QUOTES and fresh:
-                j = self.quoted(i)
+            if c in QUOTES and c not in lone and (fresh or not self.s[i - 1].isalnum()):
+                j = self.quoted(i) if fresh else -1
                 if j > 0:
                     i = quoted_to = j
                     fresh = False
                     continue
+                j = self.quoted(i, whole=False)
+                if j > 0:
+                    i, fresh = j, False
+                    continue
                 self.flags.add(BAD_QUOTE)
+                if self.s.find(c, i + 1, self.end) < 0:
+                    lone.add(c)
             elif c in BRACKETS:
                 j = self.bracketed(i)
                 if j > 0:

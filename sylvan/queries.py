@@ -11,14 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .engine import Engine
+from .engine import Engine, second_pass
 from .functions import plain_path
 from .operators.analysis import call_sets, count_callees, mark_tested, normalize_implements
 from .operators.attach import attach_comments, attach_following
 from .operators.packed import explode_packed
 from .operators.similarity import FEATURES, cosine, jaccard, min_max_scaled, top_similar
 from .plans import parse_query, plan_text
-from .runtime import table
+from .runtime import cut, table
 from .sinks import csv_lines, json_lines, rows_of, table_lines
 from .sources.trees import extract_texts, language_column, tables
 
@@ -317,8 +317,8 @@ for _t in ("functions", "calls", "imports", "structs", "variables", "comments",
 @query("engine_over_texts")
 def engine_over_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A dialect query over tables extracted from the documents: complex functions without a test."""
-    e = Engine.from_texts(spark, table(spark, sf_dir, "documents"), persist=False)
-    return e.sql("SELECT f.file, f.line, f.name, f.complexity, c.text FROM functions AS f JOIN comments AS c ON f.file = c.file AND f.name = c.attached_to WHERE f.complexity > 3 AND f.has_test = false AND c.is_doc = true")
+    wide = cut(extract_texts(table(spark, sf_dir, "documents")))  # once, for the three tables the query needs
+    return Engine(spark, second_pass(tables(wide))).sql("SELECT f.file, f.line, f.name, f.complexity, c.text FROM functions AS f JOIN comments AS c ON f.file = c.file AND f.name = c.attached_to WHERE f.complexity > 3 AND f.has_test = false AND c.is_doc = true")
 
 
 def _lines(make) -> Query:

@@ -4,7 +4,7 @@ from __future__ import annotations
 import re
 
 from .rows import Rows
-from .scan import Code, Function, Syntax, put_calls, put_comments, put_function
+from .scan import Code, Function, Syntax, put_calls, put_comments, put_function, within
 
 _SYNTAX = Syntax(
     re.compile(
@@ -50,10 +50,11 @@ def extract_go(text: str, rows: Rows) -> None:
     returns = [i for i in range(n) if c.word(i, "return")]
     statements = _statements(c, calls) + returns + [a for a, _ in (*ifs, *fors, *switches)] + [i for i in range(n) if c.word(i, "go", "defer")]
     extra = [i for i in range(n) if c.word(i, "range", "go")]
+    branches, loops = sorted(ifs + selects + switches), sorted(fors)
+    points, bodies = sorted([a for a, _ in (*branches, *loops)] + extra), sorted(b for _, b in calls)
+    statements.sort()
     for f in functions:
-        inside = lambda xs: sum(f.first <= x <= f.last for x in xs)  # noqa: E731, B023
-        complexity = 1 + inside([a for a, _ in (*ifs, *fors, *selects, *switches)]) + inside(extra)
-        put_function(c, rows, f, complexity, ifs + selects + switches, fors, [b for _, b in calls], returns, statements, [i for i in range(n) if c.word(i, "defer")])
+        put_function(c, rows, f, 1 + within(f, points), branches, loops, bodies, returns, statements, [i for i in range(f.first, f.last + 1) if c.word(i, "defer")])
     put_calls(c, rows, functions, calls, lambda x: "." in x)
     put_comments(c, rows, lambda t: t.startswith("/*") or (t.startswith("// ") and t[3:4].isupper()))
     _imports(c, rows)

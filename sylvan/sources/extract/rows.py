@@ -28,6 +28,10 @@ _TYPE = {"s": T.StringType(), "n": T.LongType(), "b": T.BooleanType()}
 _WIDE = sorted({s for slots in SLOTS.values() for s in slots.values()} - {"file", "line"})
 WIDE = T.StructType([T.StructField("kind", T.StringType()), T.StructField("file", T.StringType()), T.StructField("line", T.LongType()), *[T.StructField(w, _TYPE[w[0]]) for w in _WIDE]])
 
+_WIDTH = len(WIDE.fields)
+#: Places in the wide row of a table's columns, from the line on.
+PLACES = {t: [WIDE.names.index(s) for s in list(slots.values())[1:]] for t, slots in SLOTS.items()}
+
 
 class Rows:
     """Rows of one file by table, as tuples in the order of the table's columns, without the file."""
@@ -40,11 +44,16 @@ class Rows:
         self.tables[table].append(row := list(values))
         return row
 
-    def wide(self) -> Iterator[dict[str, object]]:
+    def wide(self) -> Iterator[tuple]:
+        """All rows as tuples in the order of WIDE."""
         for table, rows in self.tables.items():
-            slots = list(SLOTS[table].values())[1:]
+            places = PLACES[table]
             for r in rows:
-                yield {"kind": table, "file": self.file} | dict(zip(slots, r, strict=True))
+                row: list[object] = [None] * _WIDTH
+                row[0], row[1] = table, self.file
+                for p, v in zip(places, r, strict=True):
+                    row[p] = v
+                yield tuple(row)
 
 
 def narrow(wide: DataFrame, table: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 import re
 
 from .rows import Rows
-from .scan import Code, Function, Syntax, put_calls, put_comments, put_function
+from .scan import Code, Function, Syntax, put_calls, put_comments, put_function, within
 
 _SYNTAX = Syntax(
     re.compile(
@@ -87,9 +87,11 @@ def extract_rust(text: str, rows: Rows) -> None:
     tries = [i for i in live if c.tok[i] == "?" and c.kind[i] == "op"]
     controls = [a for a, _ in (*ifs, *loops, *matches)]
     statements = lets + returns + controls + _statements(c, live, functions)
+    branches, around = sorted(ifs + matches + arms), sorted(loops)
+    points, bodies = sorted(a for a, _ in (*branches, *around)), sorted(b for _, b in calls)
+    statements.sort()
     for f in functions:
-        complexity = 1 + sum(f.first <= a <= f.last for a, _ in (*ifs, *loops, *matches, *arms))
-        put_function(c, rows, f, complexity, ifs + matches + arms, loops, [b for _, b in calls], returns, statements, tries)
+        put_function(c, rows, f, 1 + within(f, points), branches, around, bodies, returns, statements, tries)
     put_calls(c, rows, functions, calls, lambda x: "::" in x or "." in x)
     put_comments(c, rows, lambda t: t.startswith(("///", "//!", "/**")))
     _items(c, rows, live, lets)

@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, field
 
 from .rows import Rows
@@ -46,6 +46,7 @@ class Code:
         self.comments: list[tuple[int, str]] = []
         self.breaks = [m.start() for m in re.finditer("\n", text)]
         self._scan(0, len(text), "")
+        self.n = len(self.tok)
         self.partner = self._pairs()
         self.dead = [False] * len(self.tok)
 
@@ -53,13 +54,13 @@ class Code:
         return bisect_right(self.breaks, pos - 1) + 1 if pos else 1
 
     def at(self, i: int) -> str:
-        return self.tok[i] if 0 <= i < len(self.tok) else ""
+        return self.tok[i] if 0 <= i < self.n else ""
 
     def is_id(self, i: int) -> bool:
         return 0 <= i < len(self.tok) and self.kind[i] == "id" and self.tok[i] not in self.syntax.keywords
 
     def word(self, i: int, *words: str) -> bool:
-        return 0 <= i < len(self.tok) and self.kind[i] == "id" and self.tok[i] in words
+        return 0 <= i < self.n and self.tok[i] in words and self.kind[i] == "id"
 
     def source(self, i: int, j: int) -> str:
         """Text of the tokens i to j."""
@@ -207,33 +208,45 @@ class Code:
             return i
 
 
-def measure(code: Code, f: Function, branches: list[tuple[int, int]], loops: list[tuple[int, int]]) -> tuple[int, int, int]:
-    """(nesting depth, branches, loops) of a function: depth of the deepest branch or loop, counted in those around it."""
-    spans = sorted((s for s in (*branches, *loops) if f.first <= s[0] <= f.last), key=lambda s: (s[0], -s[1]))
+def measure(f: Function, branches: list[tuple[int, int]], loops: list[tuple[int, int]]) -> tuple[int, int, int]:
+    """(nesting depth, branches, loops) of a function: depth of the deepest branch or loop, counted in those around it. Spans are in order."""
+    mine = [x[bisect_left(x, (f.first,)) : bisect_right(x, (f.last + 1,))] for x in (branches, loops)]
     deepest, open_ = 0, []
-    for a, b in spans:
+    for a, b in sorted((*mine[0], *mine[1]), key=lambda s: (s[0], -s[1])):
         while open_ and open_[-1] < a:
             open_.pop()
         deepest = max(deepest, len(open_))
         open_.append(b)
-    inside = lambda xs: sum(f.first <= a <= f.last for a, _ in xs)
-    return deepest, inside(branches), inside(loops)
+    return deepest, len(mine[0]), len(mine[1])
 
 
-def enclosing(functions: list[Function], i: int) -> str:
-    """Name of the innermost function around token i."""
-    best, width = "", None
-    for f in functions:
-        if f.first <= i <= f.last and (width is None or f.last - f.first < width):
-            best, width = f.name, f.last - f.first
-    return best
+def within(f: Function, sorted_tokens: list[int]) -> int:
+    """How many of the tokens, given in order, lie in the function."""
+    return bisect_right(sorted_tokens, f.last) - bisect_left(sorted_tokens, f.first)
+
+
+def innermost(functions: list[Function], tokens: list[int]) -> list[str]:
+    """Name of the innermost function around each token, '' if none; tokens in any order, one sweep over both."""
+    out, open_, todo = [""] * len(tokens), [], sorted(functions, key=lambda f: (f.first, -f.last))
+    k = 0
+    for i in sorted(range(len(tokens)), key=tokens.__getitem__):
+        while k < len(todo) and todo[k].first <= tokens[i]:
+            while open_ and open_[-1].last < todo[k].first:
+                open_.pop()
+            open_.append(todo[k])
+            k += 1
+        while open_ and open_[-1].last < tokens[i]:
+            open_.pop()
+        if open_:
+            out[i] = open_[-1].name
+    return out
 
 
 def put_function(code: Code, rows: Rows, f: Function, complexity: int, branches: list[tuple[int, int]], loops: list[tuple[int, int]], calls: list[int], returns: list[int], statements: list[int], errors: list[int]) -> None:
-    """Rows of a function and its fingerprint; unique callees are counted later."""
+    """Rows of a function and its fingerprint; unique callees are counted later. Lists of tokens are in order."""
     line = code.line(code.start[f.first])
-    depth, n_branches, n_loops = measure(code, f, branches, loops)
-    inside = lambda xs: sum(f.first <= i <= f.last for i in xs)
+    depth, n_branches, n_loops = measure(f, branches, loops)
+    inside = lambda xs: within(f, xs)
     rows.add("functions", line, f.name, f.visibility, f.params, f.returns, complexity, False)
     rows.add("fn_fingerprints", line, f.name, f.params, complexity, depth, n_branches, n_loops, inside(calls), 0, inside(returns), inside(statements), inside(errors) > 0)
 
@@ -246,6 +259,6 @@ def put_comments(code: Code, rows: Rows, is_doc) -> None:
 
 def put_calls(code: Code, rows: Rows, functions: list[Function], calls: list[tuple[int, int]], external) -> None:
     """``calls``: first and last token of every callee."""
-    for a, b in calls:
+    for (a, b), caller in zip(calls, innermost(functions, [b for _, b in calls]), strict=True):
         callee = code.source(a, b)
-        rows.add("calls", code.line(code.start[a]), enclosing(functions, b), callee, external(callee))
+        rows.add("calls", code.line(code.start[a]), caller, callee, external(callee))

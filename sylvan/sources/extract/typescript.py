@@ -4,7 +4,7 @@ from __future__ import annotations
 import re
 
 from .rows import Rows
-from .scan import Code, Function, Syntax, put_calls, put_comments, put_function
+from .scan import Code, Function, Syntax, put_calls, put_comments, put_function, within
 
 _SYNTAX = Syntax(
     re.compile(
@@ -62,10 +62,12 @@ def extract_typescript(text: str, rows: Rows) -> None:
     errors = [i for i in range(n) if c.word(i, "try", "throw") and c.at(i - 1) != "."]
     declared = _variables(c, rows)
     statements = declared + returns + switches + errors + [a for a, _ in (*ifs, *fors, *whiles)] + _expressions(c, functions)
+    branches, loops = sorted(ifs + cases + ternaries + catches), sorted(fors + whiles + dos)
+    points = sorted([a for a, _ in (*ifs, *fors, *whiles, *cases, *catches, *ternaries)] + logic)
+    bodies = sorted(b for _, b in calls)
+    statements.sort()
     for f in functions:
-        points = [*ifs, *fors, *whiles, *cases, *catches, *ternaries]
-        complexity = 1 + sum(f.first <= a <= f.last for a, _ in points) + sum(f.first <= i <= f.last for i in logic)
-        put_function(c, rows, f, complexity, ifs + cases + ternaries + catches, fors + whiles + dos, [b for _, b in calls], returns, statements, errors)
+        put_function(c, rows, f, 1 + within(f, points), branches, loops, bodies, returns, statements, errors)
     put_calls(c, rows, functions, calls, lambda x: "." in x)
     put_comments(c, rows, lambda t: t.startswith(("/**", "///", "/*!")))
     _imports(c, rows)

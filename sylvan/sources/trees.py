@@ -2,12 +2,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..runtime import spread
 from ..schema import EXTRACTED
 from .extract import extract
 from .extract.rows import WIDE, narrow
@@ -29,20 +32,12 @@ def language_column(path: str) -> Column:
     return out
 
 
-def _frames(rows: Iterator[dict]) -> Iterator[pd.DataFrame]:
-    batch: list[dict] = []
-    for r in rows:
-        batch.append(r)
-        if len(batch) >= BATCH:
-            yield _frame(batch)
-            batch = []
-    if batch:
-        yield _frame(batch)
+_ARROW = pa.schema([(f.name, {"string": pa.string(), "bigint": pa.int64(), "boolean": pa.bool_()}[f.dataType.simpleString()]) for f in WIDE])
 
 
-def _frame(batch: list[dict]) -> pd.DataFrame:
-    kind = {"s": "object", "n": "Int64", "b": "boolean"}
-    return pd.DataFrame({f.name: pd.Series([r.get(f.name) for r in batch], dtype=kind[f.name[0]] if f.name[1:].isdigit() else "Int64" if f.name == "line" else "object") for f in WIDE})
+def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    while batch := list(islice(rows, BATCH)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*batch, strict=True), _ARROW.types, strict=True)], schema=_ARROW)
 
 
 def files_frame(spark: SparkSession, files: list[Found]) -> DataFrame:
@@ -60,10 +55,10 @@ def extract_files(files: DataFrame, on_error: str = "fail") -> DataFrame:
     if on_error not in ("fail", "skip"):
         raise ValueError("on_error is 'fail' or 'skip'")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def rows() -> Iterator[dict]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
             for b in batches:
-                for path, file, lang in zip(b["path"], b["file"], b["lang"], strict=True):
+                for path, file, lang in zip(*(b.column(c).to_pylist() for c in ("path", "file", "lang")), strict=True):
                     try:
                         with open(path, encoding="utf-8", newline="") as f:
                             text = f.read()
@@ -73,10 +68,10 @@ def extract_files(files: DataFrame, on_error: str = "fail") -> DataFrame:
                         raise RuntimeError(f"error: failed to read {path}: {e}") from e
                     yield from extract(lang, file, text).wide()
 
-        return _frames(rows())
+        return _batches(rows())
 
     src = files.select("path", "file", language_column("file").alias("lang")).where("lang is not null")
-    return src.mapInPandas(run, WIDE)
+    return src.mapInArrow(run, WIDE)
 
 
 def extract_texts(df: DataFrame, file: str = "file", text: str = "text", language: str | None = None) -> DataFrame:
@@ -87,10 +82,12 @@ def extract_texts(df: DataFrame, file: str = "file", text: str = "text", languag
     lang = language_column(file) if language is None else F.lower(language)
     src = df.select(F.col(file).alias("file"), F.col(text).alias("text"), lang.alias("lang")).where(F.col("lang").isin(*set(LANGUAGES.values())) & F.col("file").isNotNull() & F.col("text").isNotNull())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return _frames(r for b in batches for f, t, x in zip(b["file"], b["text"], b["lang"], strict=True) for r in extract(x, f, t).wide())
+    src = spread(src)
 
-    return src.mapInPandas(run, WIDE)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _batches(r for b in batches for f, t, x in zip(*(b.column(c).to_pylist() for c in ("file", "text", "lang")), strict=True) for r in extract(x, f, t).wide())
+
+    return src.mapInArrow(run, WIDE)
 
 
 def tables(wide: DataFrame) -> dict[str, DataFrame]:
