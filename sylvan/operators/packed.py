@@ -68,7 +68,7 @@ class _Peg:
         while True:
             j = self.s.find(q, j, self.end)
             if j < 0:
-                return -1
+                return -2  # no quote of this kind closes any more
             if self.s.startswith(q, j + 1, self.end):
                 j += 2
                 continue
@@ -149,7 +149,7 @@ class _Peg:
                     i, fresh = j, False
                     continue
                 self.flags.add(BAD_QUOTE)
-                if self.s.find(c, i + 1, self.end) < 0:
+                if j == -2:
                     lone.add(c)
             elif c in BRACKETS:
                 j = self.bracketed(i)
