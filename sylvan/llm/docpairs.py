@@ -22,7 +22,7 @@ LEAST_WORDS, LEAST_CHARS = 4, 8
 _MARKER = re.compile(r"^\s*(?:(?:/\*[*!]?|\*/|\*(?!\*)|//[/!]?|#[:.!]?|\"\"\"|''')\s*)*|(?:\*+/|\"\"\"|''')\s*$")
 _TAG = re.compile(r"\{?@[^\W\d_][\w-]*|(?<!\S):[^\W\d_]\w*(?:\s+[\w*.,\[\]]+)?:(?=\s|$)|</?[a-zA-Z][^<>]*>")
 _RULER = re.compile(r"([=\-~*_#+.<>|])\1{2,}")
-_WORD = re.compile(r"[^\W\d_][\w'’]*(?:-[^\W\d_][\w'’]*)*|n/a", re.IGNORECASE)
+_WORD = re.compile(r"\bn/a\b|[^\W\d_][\w'’]*(?:-[^\W\d_][\w'’]*)*", re.IGNORECASE)
 _CJK = re.compile(r"[ぁ-ゟァ-ヿ㐀-䶿一-鿿豈-﫿々〆ー]")
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[^\W\d_A-Za-z]+")
 _INHERIT = re.compile(r"@inherit_?doc|:inherit:", re.IGNORECASE)
