@@ -99,6 +99,13 @@ class Engine:
         """The plan of a query in the engine's dialect. Errors in syntax, names and types are raised here, before any file is read."""
         return compile_query(self._lookup, parse_query(text, self.extended))
 
+    def create_views(self, prefix: str = "") -> list[str]:
+        """Temporary views of all tables, for Spark SQL in full; their names, with ``prefix`` in front."""
+        names = sorted({*self._tables, *(["similarities"] if "fn_fingerprints" in self._tables else [])})
+        for n in names:
+            self.table(n).createOrReplaceTempView(prefix + n)
+        return [prefix + n for n in names]
+
     def select_functions(self) -> DataFrame:
         """All functions, ordered by file, line and name."""
         return self.table("functions").orderBy("file", "line", "name")

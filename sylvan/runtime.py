@@ -31,7 +31,9 @@ def cut(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over at least as many partitions as there are cores, for work that costs far more than a shuffle of its input.
 
-    Input with enough splits, as any large one has, stays as it is.
+    Input with enough splits, as any large one has, stays as it is, and so does a stream.
     """
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)

@@ -93,3 +93,15 @@ def extract_texts(df: DataFrame, file: str = "file", text: str = "text", languag
 def tables(wide: DataFrame) -> dict[str, DataFrame]:
     """The extracted tables, each a filter and projection of the wide rows."""
     return {t: narrow(wide, t) for t in EXTRACTED}
+
+
+def register_extractor(spark: SparkSession, name: str = "extract_source") -> None:
+    """A table function for Spark SQL: ``SELECT * FROM extract_source('go', 'a.go', text)`` gives the wide rows of one text."""
+
+    @F.udtf(returnType=WIDE)
+    class Extract:
+        def eval(self, language: str, file: str, text: str) -> Iterator[tuple]:
+            if language in LANGUAGES.values() and file is not None and text is not None:
+                yield from extract(language, file, text).wide()
+
+    spark.udtf.register(name, Extract)
