@@ -104,7 +104,8 @@ def pack(items: DataFrame, cap: Capacity = Capacity(), shard_items: int = 8192,
         raise ValueError("a text as long as a container must fit its attention capacity")
     n = items.count()
     shards = max(1, round(n / shard_items))
-    spread = items.select("doc_id", "n_tokens", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(shards)).cast("long").alias("shard"))
+    own = F.xxhash64(F.coalesce("doc_id", F.monotonically_increasing_id()), "n_tokens")  # rows without an id are spread too
+    spread = items.select("doc_id", "n_tokens", F.pmod(own, F.lit(shards)).cast("long").alias("shard"))
 
     def run(shard: pd.DataFrame) -> pd.DataFrame:
         shard = shard.sort_values(["doc_id", "n_tokens"], kind="stable")
