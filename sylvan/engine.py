@@ -11,6 +11,7 @@ from .operators.analysis import call_sets, count_callees, mark_tested, normalize
 from .operators.attach import attach_comments
 from .operators.similarity import similarities
 from .plans import compile_query, parse_query
+from .runtime import ensure_importable
 from .schema import SCHEMAS
 from .sources.cache import RowCache
 from .sources.trees import extract_files, extract_texts, files_frame, tables
@@ -38,6 +39,7 @@ class Engine:
     """
 
     def __init__(self, spark: SparkSession, named: Mapping[str, DataFrame], extended: bool = False):
+        ensure_importable(spark)
         self.spark, self.extended = spark, extended
         self._tables = {k.lower(): v for k, v in named.items()}
         self._held: list[DataFrame] = []

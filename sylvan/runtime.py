@@ -1,13 +1,31 @@
 """Session-level helpers: reading tables and cutting lineage."""
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ensure_importable(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a session, unless they run here and find it by themselves."""
+    sc, root = spark.sparkContext, Path(__file__).resolve().parents[1]
+    seen = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if getattr(sc, "_sylvan_sent", False) or (sc.master.startswith("local") and str(root) in seen):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="sylvan-"), "sylvan.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted((root / "sylvan").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    sc.addPyFile(str(archive))  # the driver serves it to the executors
+    sc._sylvan_sent = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data folder."""
+    ensure_importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
