@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..runtime import ensure_importable
+
 #: Delimiters, quotes and bracket pairs of the packed fields.
 DELIMITERS = ",;|/&+\t\n\r"
 WORD_DELIMITERS = ("and",)
@@ -182,6 +184,7 @@ def explode_packed(df: DataFrame, value: str, keep: list[str], pos: str = "pos",
     Repeated input rows give repeated output rows. Extra columns are dropped; the output holds ``keep`` + the
     three new columns only, so other columns may have any name. Texts of any length are parsed whole.
     """
+    ensure_importable(df.sparkSession)
     src = df.select(*[F.col(c) for c in keep], F.col(value).cast("string").alias("__packed")).where(F.col("__packed").isNotNull())
     schema = T.StructType([*[df.schema[c] for c in keep], T.StructField(pos, T.LongType()), T.StructField(item, T.StringType()), T.StructField(flags, T.StringType())])
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..runtime import spread
+from ..runtime import ensure_importable, spread
 from ..schema import EXTRACTED
 from .extract import extract
 from .extract.rows import WIDE, narrow
@@ -54,6 +54,7 @@ def extract_files(files: DataFrame, on_error: str = "fail") -> DataFrame:
     """
     if on_error not in ("fail", "skip"):
         raise ValueError("on_error is 'fail' or 'skip'")
+    ensure_importable(files.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
@@ -79,6 +80,7 @@ def extract_texts(df: DataFrame, file: str = "file", text: str = "text", languag
 
     Rows with a null file or text, or of no supported language, give nothing.
     """
+    ensure_importable(df.sparkSession)
     lang = language_column(file) if language is None else F.lower(language)
     src = df.select(F.col(file).alias("file"), F.col(text).alias("text"), lang.alias("lang")).where(F.col("lang").isin(*set(LANGUAGES.values())) & F.col("file").isNotNull() & F.col("text").isNotNull())
 
@@ -98,6 +100,8 @@ def tables(wide: DataFrame) -> dict[str, DataFrame]:
 def register_extractor(spark: SparkSession, name: str = "extract_source") -> None:
     """A table function for Spark SQL: ``SELECT * FROM extract_source('go', 'a.go', text)`` gives the wide rows of one text."""
 
+    ensure_importable(spark)
+
     @F.udtf(returnType=WIDE)
     class Extract:
         def eval(self, language: str, file: str, text: str) -> Iterator[tuple]:
