@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import cut
+from ..runtime import cut, ensure_importable
 
 #: The grid has at most so many rows, which bounds the table of cell sizes that is broadcast.
 MAX_BLOCKS = 512
@@ -62,6 +62,7 @@ def connected_labels(edges: DataFrame, cell_edges: int = 250_000) -> DataFrame:
     until no edge is left. Parents of all rounds are then followed from the last round back to the first.
     """
     parents: list[DataFrame] = []
+    ensure_importable(edges.sparkSession)
     edges = cut(edges)
     while n := edges.count():
         stars = _round(edges, n, cell_edges)

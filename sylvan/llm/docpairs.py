@@ -12,7 +12,7 @@ from pyspark.sql.window import Window as W
 from ..functions import blank_to_null
 from ..operators.attach import attach_following
 from ..operators.packed import explode_packed
-from ..runtime import cut
+from ..runtime import cut, ensure_importable
 
 #: Words that only say that documentation is missing.
 PLACEHOLDERS = frozenset("todo tbd fixme xxx wip hack na n/a undocumented".split())
@@ -68,6 +68,7 @@ def descriptions(comments: DataFrame, functions: DataFrame, structs: DataFrame)
     once. Functions without a name, rows without a file or line, and rows that find no function give nothing. Null and
     blank texts have no words but keep their line. Words are counted row by row, so no text is gathered to be judged.
     """
+    ensure_importable(comments.sparkSession)
     docs = comments.where("is_doc and file is not null and line is not null").select("file", "line", "text", clean_target("attached_to").alias("target")).distinct()
     fn = functions.where("name is not null and file is not null and line is not null").select("file", "line", "name").distinct()
     named = attach_following(docs.where("target is not null"), fn.withColumnRenamed("name", "target"), ["file", "target"], "line", []).withColumn("name", F.col("target"))

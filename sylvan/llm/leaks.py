@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..runtime import ensure_importable
 from .words import NONE, WORD, shingle_hashes, window_min
 
 #: Texts are cut into pieces of so many words (overlapping by a passage less one), so arrays stay small for texts of any length.
@@ -110,6 +111,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     and documents are searched where they are read. A larger item set is sketched in tasks and joined on the sketch; the
     pairs that meet are checked exactly on the two texts.
     """
+    ensure_importable(docs.sparkSession)
     items = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("item_text")).distinct()
     docs = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     out = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("passages", T.LongType())])

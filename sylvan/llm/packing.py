@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import ensure_importable
+
 #: Place of the public tokenizers' files; another place or file is given as a parameter.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the tokenizer splits text before merging, as its README states it.
@@ -40,6 +42,8 @@ def _encoder(path: str):
 def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, n_tokens) of whole texts; null and empty texts have 0."""
 
+    ensure_importable(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(tokenizer).encode_ordinary
         for b in batches:
@@ -102,6 +106,7 @@ def pack(items: DataFrame, cap: Capacity = Capacity(), shard_items: int = 8192,
     """
     if cap.attention < cap.tokens**2:
         raise ValueError("a text as long as a container must fit its attention capacity")
+    ensure_importable(items.sparkSession)
     n = items.count()
     shards = max(1, round(n / shard_items))
     own = F.xxhash64(F.coalesce("doc_id", F.monotonically_increasing_id()), "n_tokens")  # rows without an id are spread too

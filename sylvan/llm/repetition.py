@@ -9,6 +9,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import ensure_importable
 from .words import LETTERS
 
 #: Words in one fixed chunk.
@@ -93,6 +94,7 @@ def repetition(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shar
     earlier in the text. ``repeated`` is null where the bands rule out a share of ``share``. Null and blank texts have no
     words and 0 repeated. Empty table, empty result. Other columns are ignored, whatever their names. No shuffle.
     """
+    ensure_importable(docs.sparkSession)
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

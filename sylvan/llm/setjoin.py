@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import cut
+from ..runtime import cut, ensure_importable
 
 
 def overlap_needed(s: int, t: int, num: int, den: int) -> int:
@@ -59,6 +59,7 @@ def similar_set_pairs(df: DataFrame, key: list[str], item: str, least: int = 4,
     similar exactly if they meet in one. Larger sets scan the inverted lists of their rarest items, as many as a partner
     can't all miss, against sets of any size. The union of both is checked on the items themselves.
     """
+    ensure_importable(df.sparkSession)
     ok = F.col(item).isNotNull() & (F.col(item) != "")
     for k in key:
         ok = ok & F.col(k).isNotNull()
