@@ -126,6 +126,41 @@ def test_bands_never_hide_a_repetitive_text():
     assert tested >= 8
 
 
+@pytest.mark.parametrize("fresh, runs", [(20_000, 2046), (30_000, 3_000), (1_200_000, 0), (2_500_000, 0)])
+def test_long_repetitive_texts_are_counted(fresh, runs):
+    import zstandard
+
+    rng = np.random.default_rng(7)
+    if runs:  # runs of 8 words of the first half, scattered over the second
+        old, new = np.split(np.arange(fresh), [fresh // 2])
+        pieces = np.array_split(new, runs)
+        ids = np.concatenate([old, *(np.concatenate([p, old[a : a + 8]]) for p, a in zip(pieces, rng.integers(0, len(old) - 8, runs)))])
+    else:  # a second half that copies the first, beyond the compressor's window
+        ids = np.tile(rng.integers(0, 200_000 if fresh < 2_000_000 else 60_000, fresh), 2)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    words = np.array(["".join(w) for w in letters[np.arange(200_000)[:, None] // 26 ** np.arange(4) % 26]])[ids]
+    n, ratio, _, _, band, repeated = measure(" ".join(words), 0.4, 8, zstandard.ZstdCompressor(level=9))
+    assert n == len(ids) and band == "repetitive"
+    first, hit = {}, np.zeros(n, bool)
+    raw = ids.astype(np.uint32).tobytes()
+    if runs:
+        for p in range(n - 7):
+            if first.setdefault(raw[4 * p : 4 * p + 32], p) < p:
+                hit[p : p + 8] = True
+        assert repeated == hit.sum() >= 0.4 * n
+    else:
+        assert repeated >= n // 2
+
+
+@pytest.mark.parametrize("k", [1, 3, 5, 8, 11])
+def test_sorted_runs_equal_looked_up_ones(k):
+    rng = np.random.default_rng(k)
+    a = rng.integers(0, 40, 6000).astype(np.uint16)
+    a[3000:3300] = a[100:400]
+    w = [chr(97 + x // 26) + chr(97 + x % 26) for x in a]
+    assert repeated_words(a, k) == brute_repeated(" ".join(w), k)[1]
+
+
 def test_four_byte_words():
     a = np.concatenate([np.arange(70_000), np.arange(30_000)]).astype(np.uint32)
     assert repeated_words(a, 8) == 30_000
