@@ -187,8 +187,8 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("p10_shares", _P10 + " SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(s.repeated, 0)::BIGINT AS repeated FROM d LEFT JOIN s USING (doc_id) WHERE d.w IS NOT NULL")
 def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated words of every document, counted exactly for all of them: the bands' share is 0."""
-    return repetition(table(spark, sf_dir, "documents").where("text is not null"), share=0.0).select("doc_id", "n_words", F.coalesce("repeated", F.lit(0)).alias("repeated"))
+    """Repeated words of every document, counted exactly for all of them: no count lies below a share of 0, so none is left out."""
+    return repetition(table(spark, sf_dir, "documents").where("text is not null"), share=0.0).select("doc_id", "n_words", "repeated")
 
 
 # --- 6: functions paired with their documentation ---

@@ -10,6 +10,7 @@ from sylvan.llm.docpairs import bare, content, paired_functions
 from sylvan.llm.hidden_language import STATES, fit, hidden_text, repair, running_text, sequences, spans, unescape
 from sylvan.llm.leaks import leaked_items
 from sylvan.llm.packing import TOKENIZER, Capacity, best_fit, pack, token_counts
+from sylvan.llm.queries import QUERIES
 from sylvan.llm.repetition import measure, repeated_words, repetition
 from sylvan.llm.words import NONE, shingle_hashes, window_min
 
@@ -152,6 +153,15 @@ def test_long_repetitive_texts_are_counted(fresh, runs):
         assert repeated >= n // 2
 
 
+def test_shares_of_long_texts(spark, tmp_path):
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    words = np.array(["".join(w) for w in letters[np.arange(400_000)[:, None] // 26 ** np.arange(4) % 26]])
+    words[np.arange(300_000, 400_000, 1000)[:, None] + np.arange(8)] = words[np.arange(0, 100_000, 1000)[:, None] + np.arange(8)]
+    data = [(1, " ".join(words)), (2, " ".join(words[:300_000])), (3, ""), (4, None)]
+    spark.createDataFrame(data, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert rows(QUERIES["p10_shares"](spark, str(tmp_path))) == [(1, 400_000, 800), (2, 300_000, 0), (3, 0, 0)]
+
+
 @pytest.mark.parametrize("k", [1, 3, 5, 8, 11])
 def test_sorted_runs_equal_looked_up_ones(k):
     rng = np.random.default_rng(k)
