@@ -114,17 +114,18 @@ def _if_end(c: Code, i: int) -> int:
 
 
 def _calls(c: Code, headers: set[int]) -> list[tuple[int, int]]:
-    out = []
+    out, literals = [], _literal_bodies(c)
     for i in range(1, len(c.tok)):
         if c.tok[i] != "(" or c.kind[i] != "op" or i in headers or c.new_line(i):
             continue
         before = i - 1
         if c.is_id(before) or (c.kind[before] == "op" and c.tok[before] in (")", "}")):
-            if c.tok[before] == "}" and not _literal_body(c, before):
+            literal = literals.get(c.partner.get(before, -1)) if c.tok[before] == "}" else None
+            if c.tok[before] == "}" and literal is None:
                 continue
             if c.tok[before] == ")" and c.word(c.partner.get(before, 0) - 1, "func"):
                 continue  # the result list of a function literal
-            a = c.primary(before, (".",)) if c.tok[before] != "}" else _literal_body(c, before)
+            a = c.primary(before, (".",)) if literal is None else literal
             if not c.word(a - 1, "func", "type") and not _in_interface(c, i):
                 out.append((a, before))
         elif c.tok[before] == "]" and before in c.partner and c.is_id(c.partner[before] - 1) and not c.word(c.partner[before] - 1, "map"):
@@ -132,15 +133,15 @@ def _calls(c: Code, headers: set[int]) -> list[tuple[int, int]]:
     return out
 
 
-def _literal_body(c: Code, close: int) -> int:
-    """First token of the function literal whose body ends here, or 0."""
-    k = c.partner.get(close, 0)
-    for a in range(k - 1, max(0, k - 64), -1):
-        if c.word(a, "func"):
-            return a
-        if c.tok[a] in ("{", "}", ";"):
-            break
-    return 0
+def _literal_bodies(c: Code) -> dict[int, int]:
+    """First token of every function literal, by the brace of its body."""
+    out: dict[int, int] = {}
+    for i in range(len(c.tok)):
+        if c.word(i, "func") and c.at(i + 1) == "(":
+            body = _result(c, c.close(i + 1) + 1)[0]
+            if body >= 0 and c.around[body] == c.around[i]:
+                out.setdefault(body, i)  # the first one's result may be a function type
+    return out
 
 
 def _in_interface(c: Code, i: int) -> bool:
@@ -183,12 +184,8 @@ def _statements(c: Code, calls: list[tuple[int, int]]) -> list[int]:
 
 def _in_group(c: Code, a: int) -> bool:
     """Inside the parentheses of a grouped var or const."""
-    for k in range(a - 1, max(-1, a - 400), -1):
-        if c.tok[k] == "(" and c.kind[k] == "op" and c.close(k) >= a:
-            return c.word(k - 1, "var", "const", "type", "import")
-        if c.tok[k] in ("{", "}"):
-            return False
-    return False
+    k = c.around[a]
+    return c.at(k) == "(" and c.word(k - 1, "var", "const", "type", "import")
 
 
 def _imports(c: Code, rows: Rows) -> None:

@@ -74,8 +74,9 @@ def extract_rust(text: str, rows: Rows) -> None:
                 matches.append((i, c.close(b)))
                 arms += _arms(c, b)
     loops = []
+    impls = _impl_fors(c)
     for i in live:
-        if c.word(i, "for") and (c.at(i + 1) == "<" or _impl_for(c, i)):
+        if c.word(i, "for") and (c.at(i + 1) == "<" or i in impls):
             continue
         if c.word(i, "for", "while", "loop"):
             b = _block(c, i + 1)
@@ -182,18 +183,34 @@ def _arms(c: Code, b: int) -> list[tuple[int, int]]:
     return out
 
 
-def _impl_for(c: Code, i: int) -> bool:
-    """The for of ``impl Trait for Type``."""
-    for k in range(i - 1, max(-1, i - 80), -1):
+def _impl_fors(c: Code) -> set[int]:
+    """Every for of ``impl Trait for Type``."""
+    out, head = set(), False
+    for k, t in enumerate(c.tok):
         if c.word(k, "impl"):
-            return True
-        if c.tok[k] in ("{", "}", ";"):
-            return False
-    return False
+            head = True
+        elif t in ("{", "}") or (t == ";" and c.at(c.around[k]) != "["):  # not the length of an array
+            head = False
+        elif head and c.word(k, "for"):
+            out.add(k)
+    return out
+
+
+def _enums(c: Code) -> set[int]:
+    """Braces of enums."""
+    out, head = set(), False
+    for k, t in enumerate(c.tok):
+        if c.word(k, "enum"):
+            head = True
+        elif t in ("{", "}", ";"):
+            if head and t == "{":
+                out.add(k)
+            head = False
+    return out
 
 
 def _calls(c: Code, live: list[int], headers: set[int]) -> list[tuple[int, int]]:
-    out = []
+    out, enums = [], _enums(c)
     for i in live:
         if c.tok[i] != "(" or c.kind[i] != "op" or i in headers or i == 0:
             continue
@@ -209,7 +226,7 @@ def _calls(c: Code, live: list[int], headers: set[int]) -> list[tuple[int, int]]
                 out.append((c.primary(k - 2, _JOINTS), before))
         elif (c.is_id(before) and not c.tok[before].startswith("'")) or (c.kind[before] == "op" and c.tok[before] in (")", "]")):
             a = c.primary(before, _JOINTS)
-            if c.word(a - 1, "fn", "struct", "enum", "mod") or _in_pattern(c, a) or (c.tok[before] == "]" and c.at(c.partner.get(before, 0) - 1) == "#"):
+            if c.word(a - 1, "fn", "struct", "enum", "mod") or _in_pattern(c, a, enums) or (c.tok[before] == "]" and c.at(c.partner.get(before, 0) - 1) == "#"):
                 continue
             if c.tok[before] == ")" and c.word(c.partner.get(before, 1) - 1, "pub"):
                 continue
@@ -217,7 +234,7 @@ def _calls(c: Code, live: list[int], headers: set[int]) -> list[tuple[int, int]]
     return out
 
 
-def _in_pattern(c: Code, a: int) -> bool:
+def _in_pattern(c: Code, a: int, enums: set[int]) -> bool:
     """A tuple pattern behind let, or in front of a match arm's arrow, and variants of an enum."""
     k = a
     while k > 0 and c.tok[k - 1] in ("|", "&", "mut", "ref"):
@@ -235,15 +252,7 @@ def _in_pattern(c: Code, a: int) -> bool:
         return True
     if c.word(end + 1, "if") and _guard(c, end + 1):
         return True
-    for k in range(a - 1, max(-1, a - 200), -1):
-        if c.tok[k] == "{" and c.close(k) > a:
-            j = k - 1
-            while j > 0 and c.tok[j] not in ("{", "}", ";"):
-                if c.word(j, "enum"):
-                    return True
-                j -= 1
-            return False
-    return False
+    return c.brace[a] in enums
 
 
 def _statements(c: Code, live: list[int], functions: list[Function]) -> list[int]:

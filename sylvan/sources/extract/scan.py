@@ -47,6 +47,9 @@ class Code:
         self.breaks = [m.start() for m in re.finditer("\n", text)]
         self._scan(0, len(text), "")
         self.n = len(self.tok)
+        #: Innermost bracket around every token, and innermost brace, or -1; a bracket is not around itself or its partner.
+        self.around: list[int] = []
+        self.brace: list[int] = []
         self.partner = self._pairs()
         self.dead = [False] * len(self.tok)
 
@@ -142,16 +145,17 @@ class Code:
     def _pairs(self) -> dict[int, int]:
         out, stack = {}, []
         for i, (k, t) in enumerate(zip(self.kind, self.tok, strict=True)):
-            if k != "op":
-                continue
-            if t in _OPEN:
-                stack.append(i)
-            elif t in _CLOSE:
+            if k == "op" and t in _CLOSE:
                 for n in range(len(stack) - 1, max(-1, len(stack) - 4), -1):
                     if _OPEN[self.tok[stack[n]]] == t:
                         out[stack[n]], out[i] = i, stack[n]
                         del stack[n:]
                         break
+            top = stack[-1] if stack else -1
+            self.around.append(top)
+            self.brace.append(top if top < 0 or self.tok[top] == "{" else self.brace[top])
+            if k == "op" and t in _OPEN:
+                stack.append(i)
         last = len(self.tok) - 1
         for i in stack:
             out[i] = last

@@ -79,13 +79,14 @@ def extract_typescript(text: str, rows: Rows) -> None:
 def _generics(c: Code, i: int) -> int:
     if c.at(i) != "<":
         return i
-    depth = 0
-    for k in range(i, min(len(c.tok), i + 400)):
+    depth, k = 0, i
+    while k < len(c.tok):
         depth += {"<": 1, ">": -1, ">>": -2, ">>>": -3}.get(c.tok[k], 0)
         if depth <= 0:
             return k + 1
-        if c.tok[k] in (";", "{"):
+        if c.tok[k] in (";", "{", "}", ")", "]"):
             break
+        k = c.close(k) + 1 if c.tok[k] in ("(", "[") else k + 1
     return i
 
 
@@ -271,7 +272,7 @@ def _calls(c: Code, headers: set[int], members: set[int]) -> list[tuple[int, int
 
 def _expressions(c: Code, functions: list[Function]) -> list[int]:
     """Statements that are an expression."""
-    out = []
+    out, types = [], _type_bodies(c)
     for i in range(1, len(c.tok)):
         starts = c.at(i - 1) in (";", "{", "}") or (c.new_line(i) and c.at(i - 1) not in (",", "(", "[", "=", "=>", "&&", "||", "?", ":", "+", "-", ".", "?.", "|", "&") and c.at(i) not in (".", "?.", ")", "]", "}", "?", ":", "&&", "||", ",", "+", "|", "&", "{"))
         if not starts or not any(f.first < i < f.last for f in functions):
@@ -282,18 +283,22 @@ def _expressions(c: Code, functions: list[Function]) -> list[int]:
             if any(f.first <= i <= f.last and c.tok[f.first : i + 1].count("{") == 0 for f in functions):
                 continue
             k = next((k for k in range(i - 1, -1, -1) if c.kind[k] == "op" and c.tok[k] in ("{", "(", "[", "${") and c.close(k) > i), -1)
-            if k >= 0 and c.tok[k] == "{" and c.at(k - 1) not in ("=", "(", ",", ":", "[", "return", "?", "import", "export") and not _class_body(c, k):
+            if k >= 0 and c.tok[k] == "{" and c.at(k - 1) not in ("=", "(", ",", ":", "[", "return", "?", "import", "export") and k not in types:
                 out.append(i)
     return out
 
 
-def _class_body(c: Code, b: int) -> bool:
-    for k in range(b - 1, max(-1, b - 40), -1):
+def _type_bodies(c: Code) -> set[int]:
+    """Braces of classes, interfaces and enums."""
+    out, head = set(), False
+    for k, t in enumerate(c.tok):
         if c.word(k, "class", "interface", "enum"):
-            return True
-        if c.tok[k] in (";", "{", "}", ")"):
-            return False
-    return False
+            head = True
+        elif t in (";", "{", "}", ")"):
+            if head and t == "{":
+                out.add(k)
+            head = False
+    return out
 
 
 def _variables(c: Code, rows: Rows) -> list[int]:

@@ -208,3 +208,28 @@ def test_watch(spark, tmp_path):
 
     watch(spark, "SELECT name FROM variables ORDER BY name", root, "csv", out, interval=0.0, go_on=go_on)
     assert out.getvalue().split("\x1b[H\x1b[2J")[1:] == ["name\nx\n", "name\nx\ny\n", "name\nx\ny\ny\n"]
+
+
+def test_long_stretches_before_a_construct():
+    def calls(t):
+        return [r[2] for r in t["calls"]]
+
+    variants = "".join(f"    V{k}(Box<T{k}>),\n" for k in range(300))
+    t = extract("rust", "m.rs", f"enum E {{\n{variants}}}\nfn f() {{ g(); }}\n").tables
+    assert calls(t) == ["g"]
+    bounds = ", ".join(f"T{k}: Show<[u8; 4]>" for k in range(60))
+    t = extract("rust", "m.rs", f"fn f() {{\n    impl<{bounds}> Greet<[u8; 4]> for User {{\n        fn g(&self) {{ for x in y {{ }} }}\n    }}\n}}\n").tables
+    assert {r[1]: r[6] for r in t["fn_fingerprints"]} == {"f": 1, "g": 1}
+    params = ", ".join(f"p{k} map[string]int" for k in range(40))
+    t = extract("go", "m.go", f"package m\n\nfunc f() {{\n\tfunc({params}, q interface{{}}) {{\n\t\tg()\n\t}}(1)\n\tfunc(a int) func(b int) {{\n\t\treturn nil\n\t}}(2)\n}}\n").tables
+    assert len(calls(t)) == 3 and calls(t)[0] == "g" and calls(t)[1].startswith("func(p0") and calls(t)[2].startswith("func(a int)")
+    entries = "".join(f"\t\tc{k} = T{{{k}}}\n" for k in range(200))
+    t = extract("go", "m.go", f"package m\n\nfunc f() {{\n\tvar (\n{entries}\t)\n\tx = 1\n}}\n").tables
+    assert t["fn_fingerprints"][0][-2] == 1
+    types = ", ".join(f"T{k} extends Map<string, number[]>" for k in range(90))
+    t = extract("typescript", "m.ts", f"function f<{types}>(a: T1): void {{\n  g();\n}}\n").tables
+    assert [r[1] for r in t["functions"]] == ["f"] and calls(t) == ["g"]
+    names = ", ".join(f"I{k}" for k in range(60))
+    t = extract("typescript", "m.ts", f"function f() {{\n  class A implements {names} {{\n    x;\n    y;\n  }}\n}}\n").tables
+    u = extract("typescript", "m.ts", "function f() {\n  class A implements I {\n    x;\n    y;\n  }\n}\n").tables
+    assert t["fn_fingerprints"][0][1:] == u["fn_fingerprints"][0][1:]
