@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -98,14 +99,15 @@ def _simple(c: str) -> Column:
     return F.regexp_extract(F.regexp_replace(c, r"[<(\[].*$", ""), r"([^.:=&\s]*)\s*$", 1)
 
 
-def paired_functions(comments: DataFrame, functions: DataFrame, structs: DataFrame, max_depth: int = 32) -> DataFrame:
+def paired_functions(comments: DataFrame, functions: DataFrame, structs: DataFrame) -> DataFrame:
     """Code-description pairs: (file, line, name, doc_line, description, from_file, from_line, depth).
 
     A function's own descriptions that say something come with depth 0 (from_* is the function itself), one row each. A
     function without one inherits: its owner is the nearest struct above it in the file, and the types that the owner
     implements are searched for a function of the same name with a description, the nearest generation first, smallest
     (file, line) of a generation first. Then doc_line is the line in from_file. What finds nothing is dropped. Types are
-    known by their simple name; a hierarchy with cycles ends, since no type is visited twice for one function.
+    known by their simple name; every generation is searched, and a hierarchy with cycles ends, since no type is visited
+    twice for one function.
     """
     desc = cut(descriptions(comments, functions, structs))
     own = desc.where(says_something()).select("file", "line", "name", "doc_line", F.col("text").alias("description"))
@@ -123,7 +125,7 @@ def paired_functions(comments: DataFrame, functions: DataFrame, structs: DataFra
     key = ["file", "line", "name"]
     waiting = cut(methods.join(own.select(*key).distinct(), key, "left_anti").select(*key, F.col("owner").alias("type")))
     visited, out = waiting, own.select(*key, "doc_line", "description", F.col("file").alias("from_file"), F.col("line").alias("from_line"), F.lit(0).alias("depth"))
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):
         step = cut(waiting.join(parents.withColumnRenamed("child", "type"), "type").select(*key, F.col("parent").alias("type")).distinct().join(visited, [*key, "type"], "left_anti"))
         if step.isEmpty():
             break

@@ -263,6 +263,12 @@ def test_pairs(spark):
     assert rows(got.where("depth > 0").select("line", "doc_line", "from_line", "depth")) == [(4, 50, 52, 2), (24, 50, 52, 1)]
 
 
+def test_documentation_many_generations_up(spark):
+    structs = [("a", 10 * k + 1, f"T{k}", f"T{k + 1}") for k in range(34)] + [("a", 341, "T34", None)]
+    got = paired_functions(spark.createDataFrame([("a", 342, "/// Draws the whole thing at once", None, True)], C), spark.createDataFrame([("a", 3, "draw"), ("a", 343, "draw")], F_), spark.createDataFrame(structs, S))
+    assert rows(got.select("line", "doc_line", "from_line", "depth")) == [(3, 342, 343, 34), (343, 342, 343, 0)]
+
+
 def test_tie_between_struct_and_function(spark):
     got = paired_functions(spark.createDataFrame([("a", 1, "/// a b c d e", None, True)], C), spark.createDataFrame([("a", 3, "f")], F_), spark.createDataFrame([("a", 3, "S", None)], S))
     assert rows(got.select("name")) == [("f",)]
