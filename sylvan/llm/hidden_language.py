@@ -105,7 +105,8 @@ _MARKER = re.compile(r"^\s*(?:(?:/\*[*!]?|\*/|\*(?!\*)|//[/!]?|#[:.!]?|--(?!-)|\
 _LITERAL = re.compile(r"\"((?:[^\"\\]|\\.)*)\"|(?<=[(=,\[{+\s])'((?:[^'\\]|\\.)*)'(?=\s*(?:[),;\]}+]|$))")
 _TRAILING = re.compile(r"\s(?://+|#+|/\*+)\s")
 #: A line that is code: what stands outside its literals is left to the code state, and its literals are read on their own.
-_CODE = re.compile(r"[;{}\]]\s*$|\)\s*[;{?]*\s*$|:=|=>|[=!]=|->|\w\(|^\s*(?:let|const|var|return|def|func|fn|import|export|defer|del|raise|throw|match)\s.*[()\[\]{};=]|^\s*\w+(?:\.\w+)*\s*=\s|:\s*$|\|.*\||^\s*\$\s")
+#: Signs that prose may end with, such as a colon or a closing parenthesis, are left to the model.
+_CODE = re.compile(r"[{}]\s*$|:=|=>|[=!]=|->|\w\(|^\s*(?:let|const|var|return|def|func|fn|import|export|defer|del|raise|throw|match)\s.*[()\[\]{};=]|^\s*\w+(?:\.\w+)*\s*=\s|\|.*\||^\s*\$\s")
 #: A note's label in front of its text, as in ``fixme(name): ...``.
 _LABEL = re.compile(r"^\s*[^\W\d_]+\([\w ,.@-]*\):\s")
 #: Identifiers, paths, directives and other signs that are no running text.

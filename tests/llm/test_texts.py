@@ -300,6 +300,11 @@ def table():
     return fit([f"// {s}." for v in SENTENCES.values() for s in v] * 3 + [f"// {c}" for c in CODE] * 3)
 
 
+@pytest.mark.parametrize("end", [" (see above)", ":", ";", " [sic]"])
+def test_prose_may_end_like_code(table, end):
+    assert spans([f"// {SENTENCES['en'][0]}{end}"], table)[0].get("en", (0,))[0] >= 8
+
+
 def found(texts, table):
     return [{k for k, (w, c, _) in g.items() if w >= 5 or c >= 8} for g in spans(texts, table)]
 
