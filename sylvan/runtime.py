@@ -1,11 +1,14 @@
 """Session-level helpers: reading tables and cutting lineage."""
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -41,11 +44,36 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there; it survives lost executors."""
+    """Write ``df`` to the shared checkpoint folder and go on from there; it survives lost executors.
+
+    Spark deletes the files when the frame is no longer used, if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
+    """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def store(df: DataFrame) -> DataFrame:
+    """As ``cut``, but as a compressed table, for rows that are wide or read in part; it is deleted when the session's process ends."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    sc = spark.sparkContext
+    folder = getattr(sc, "_sylvan_tables", None)
+    if folder is None:
+        folder = sc._sylvan_tables = f"{sc.getCheckpointDir()}/tables-{uuid.uuid4().hex}"
+        atexit.register(_remove, sc, folder)
+    path = f"{folder}/{uuid.uuid4().hex}"
+    df.write.parquet(path, compression="zstd")
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(sc: SparkContext, folder: str) -> None:
+    try:
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # the session is gone, and with it the right to its folder
+        pass
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over at least as many partitions as there are cores, for work that costs far more than a shuffle of its input.
 
