@@ -2,10 +2,12 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from itertools import count
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import cut, ensure_importable
@@ -88,22 +90,45 @@ def consolidate_pairs(pairs: DataFrame, left: list[str], right: list[str], key:
     ``left`` and ``right`` name the columns that hold the two records; a row with a null in any of them links nothing and
     names nobody. Repeated and reversed pairs count once; a record paired only with itself is its own group. Records
     compare column by column. An empty table gives an empty result. Other columns are ignored, whatever their names.
-    Records are identified inside by a 64-bit hash that is proved free of collisions on these records, else redrawn.
+    Records are identified inside by a 64-bit hash; those few that share one are found and get another, see ``identified``.
     """
     ok = F.lit(True)
     for c in [*left, *right]:
         ok = ok & F.col(c).isNotNull()
     rows = pairs.where(ok)
-    for seed in range(8):
-        a, b = F.xxhash64(F.lit(seed), *left), F.xxhash64(F.lit(seed), *right)
-        ends = F.array(*(F.struct(h.alias("h"), *[F.col(c).alias(k) for c, k in zip(cols, key, strict=True)]) for h, cols in ((a, left), (b, right))))
-        records = cut(rows.select(F.explode(ends).alias("e")).select("e.*").distinct())
-        if records.groupBy("h").count().where("count > 1").isEmpty():
-            break
-    else:
-        raise RuntimeError("hash collisions with eight seeds")
+    records, again = identified(rows, left, right, key)
+    a, b = plain_id(*left), plain_id(*right)
+    if again is not None:
+        for cols, name in ((left, "__a"), (right, "__b")):
+            new = again.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(key)], F.col("h").alias(name))
+            rows = rows.join(new, reduce(lambda x, y: x & y, [F.col(f"`{c}`") == F.col(f"__k{i}") for i, c in enumerate(cols)]), "left").drop(*[f"__k{i}" for i in range(len(key))])
+        a, b = F.coalesce("__a", a), F.coalesce("__b", b)
     edges = rows.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b")
     labels = connected_labels(edges, cell_edges)
     found = records.join(labels, F.col("h") == F.col("v"), "left").select(*key, F.coalesce("label", "h").alias("label"))
     best = found.groupBy("label").agg(F.min(F.struct(*key)).alias("first"))
     return found.join(best, "label").select(*key, *[F.col(f"first.{k}").alias(g) for k, g in zip(key, group, strict=True)])
+
+
+def plain_id(*columns: str) -> Column:
+    """Id of a record by its columns, unless another record has the same."""
+    return F.xxhash64(*columns)
+
+
+def identified(rows: DataFrame, left: list[str], right: list[str], key: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """(records, again): every record once with its 64-bit id ``h``, no two alike; ``again`` holds the records whose id is not their plain hash, or is None.
+
+    The expected number of records that share a hash is n^2 / 2^64: none for a billion, a few for ten billions, 540 for
+    10^11. Only these are hashed anew, with another seed until all are told apart, so nothing is drawn again for the rest.
+    """
+    ends = F.array(*(F.struct(*[F.col(c).alias(k) for c, k in zip(cols, key, strict=True)]) for cols in (left, right)))
+    records = cut(rows.select(F.explode(ends).alias("e")).select("e.*").distinct().withColumn("h", plain_id(*key)))
+    shared = cut(records.groupBy("h").count().where("count > 1").select("h"))
+    if shared.isEmpty():
+        return records, None
+    sole = records.join(shared, "h", "left_anti")
+    twins = cut(records.join(shared, "h", "left_semi").select(*key))
+    for seed in count(1):
+        again = cut(twins.withColumn("h", F.xxhash64(F.lit(seed), *key)))
+        if again.groupBy("h").count().where("count > 1").isEmpty() and sole.join(again, "h", "left_semi").isEmpty():
+            return sole.select(*key, "h").unionByName(again), again

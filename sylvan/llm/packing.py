@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import base64
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import ensure_importable
+from ..runtime import cut, ensure_importable
 
 #: Place of the public tokenizers' files; another place or file is given as a parameter.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -22,13 +23,21 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 @dataclass(frozen=True)
 class Capacity:
-    """Limits of one container and the weights of the three dimensions. Attention cost is the sum of squared lengths."""
+    """Limits of one container and the weights of the three dimensions. Attention cost is the sum of squared lengths.
+
+    An attention capacity of ``tokens`` squared or more follows from the tokens; a smaller one binds.
+    """
 
     tokens: int = 2048
     docs: int = 256
     attention: int = 2048 * 2048
     weights: tuple[float, float, float] = (1.0, 0.02, 0.02)
 
+    @property
+    def longest(self) -> int:
+        """Tokens of the longest item that a container holds: it must fit the tokens, and its square the attention cost."""
+        return min(self.tokens, math.isqrt(self.attention))
+
 
 @lru_cache(maxsize=2)
 def _encoder(path: str):
@@ -97,28 +106,32 @@ def best_fit(sizes: np.ndarray, cap: Capacity, choose: str = "norm") -> np.ndarr
 def pack(items: DataFrame, cap: Capacity = Capacity(), shard_items: int = 8192, choose: str = "norm") -> DataFrame:
     """(doc_id, part, n_tokens, container) for items (doc_id, n_tokens).
 
-    An item longer than a container is split into full containers' worth and a rest; any other stays whole. Items of 0 or
-    null tokens need no room and get no row's worth of it: container is null. Repeated rows are items of their own.
-    An empty table gives an empty result. ``attention`` must allow one full-length text.
+    An item longer than a container takes (``Capacity.longest``) is split into such lengths and a rest; any other stays
+    whole. Items of 0 or null tokens need no room and get no row's worth of it: container is null. Repeated rows are
+    items of their own. An empty table gives an empty result. Other columns are ignored, whatever their names.
 
     Items are dealt by hash into shards of about ``shard_items``, which are packed on their own in parallel, so a task's
     work has a bound at any size; what a shard wastes is its last container or two. Containers are numbered (shard * 2^32 + k).
+    The items are checkpointed first, so that rows without an id, which are dealt by their place, come to the same shard if
+    a task is run again. Shards are spread over tasks by number, as their few bytes say nothing about the work they are.
     """
-    if cap.attention < cap.tokens**2:
-        raise ValueError("a text as long as a container must fit its attention capacity")
+    if cap.longest < 1 or cap.docs < 1:
+        raise ValueError("a container must hold something")
     ensure_importable(items.sparkSession)
+    items = cut(items.select("doc_id", "n_tokens"))
     n = items.count()
     shards = max(1, round(n / shard_items))
-    own = F.xxhash64(F.coalesce("doc_id", F.monotonically_increasing_id()), "n_tokens")  # rows without an id are spread too
-    spread = items.select("doc_id", "n_tokens", F.pmod(own, F.lit(shards)).cast("long").alias("shard"))
+    own = F.xxhash64(F.coalesce("doc_id", F.monotonically_increasing_id()), "n_tokens")
+    tasks = min(shards, max(4 * items.sparkSession.sparkContext.defaultParallelism, int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    spread = items.select("doc_id", "n_tokens", F.pmod(own, F.lit(shards)).cast("long").alias("shard")).repartition(tasks, "shard")
 
     def run(shard: pd.DataFrame) -> pd.DataFrame:
         shard = shard.sort_values(["doc_id", "n_tokens"], kind="stable")
         tokens = shard["n_tokens"].fillna(0).to_numpy(np.int64)
-        parts = np.maximum(1, -(-tokens // cap.tokens))
+        parts = np.maximum(1, -(-tokens // cap.longest))
         row = np.repeat(np.arange(len(shard)), parts)
         part = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
-        size = np.minimum(cap.tokens, tokens[row] - part * cap.tokens)
+        size = np.minimum(cap.longest, tokens[row] - part * cap.longest)
         box = np.full(len(row), -1, np.int64)
         real = size > 0
         box[real] = best_fit(size[real], cap, choose) + (int(shard["shard"].iloc[0]) << 32)

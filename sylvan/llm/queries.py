@@ -1,6 +1,7 @@
 """Registered queries of the training-data operators and the SQL they must agree with."""
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +14,9 @@ from .density import DensityPeaks
 from .docpairs import paired_functions
 from .hidden_language import hidden_text, running_text
 from .leaks import leaked_items
-from .packing import pack, token_counts
+from .packing import Capacity, pack, token_counts
 from .repetition import repetition
-from .setjoin import similar_set_pairs
+from .setjoin import linked_records, similar_set_pairs
 from .topn import top_n
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,12 +93,36 @@ def p3_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _peaks(spark, sf_dir).peaks()
 
 
-@query("p3_clusters")
+def _bent(c: str) -> str:
+    """SQL of the bent scale: whole steps up to 8, from there logarithmic in ratios of 0.88."""
+    return f"(CASE WHEN {c} <= 8 THEN {c}::DOUBLE ELSE 8 + ln({c} / 8.0::DOUBLE) / {-math.log(0.88)!r}::DOUBLE END)"
+
+
+_GAP = f"round(sqrt({' + '.join(f'pow({_bent(f"a.{m}")} - {_bent(f"b.{m}")}, 2)' for m in _MEASURES)}), 9)"
+_P3_LABELS = f"""WITH RECURSIVE{_P3_POINTS.removeprefix('WITH')},
+q AS (SELECT {{{', '.join(f"'{m}': {m}" for m in _MEASURES)}}} AS pt, * FROM p),
+k AS (SELECT {{{', '.join(f"'{m}': {m}" for m in _MEASURES)}}} AS pt, * FROM t),
+u AS (SELECT a.pt, min({{'gap': {_GAP}, 'd': -b.n, 'pt': b.pt}}).pt AS up FROM q a JOIN q b ON {_NEAR} AND (b.n > a.n OR (b.n = a.n AND b.pt < a.pt)) WHERE a.pt NOT IN (SELECT pt FROM k) GROUP BY a.pt),
+v AS (SELECT a.pt, min({{'gap': {_GAP}, 'd': -b.density, 'pt': b.pt}}).pt AS up FROM q a CROSS JOIN k b WHERE a.pt NOT IN (SELECT pt FROM u) AND a.pt NOT IN (SELECT pt FROM k) GROUP BY a.pt),
+w AS (SELECT pt, up FROM u UNION ALL SELECT pt, up FROM v),
+l(pt, label) AS (SELECT pt, pt FROM q WHERE pt NOT IN (SELECT pt FROM w) UNION ALL SELECT w.pt, l.label FROM w JOIN l ON w.up = l.pt),
+c AS (SELECT f.*, {', '.join(f'l.label.{m} AS centre_{m}' for m in _MEASURES)} FROM f JOIN l ON l.pt = {{{', '.join(f"'{m}': f.{m}" for m in _MEASURES)}}})"""
+_CENTRE = [f"centre_{m}" for m in _MEASURES]
+
+
+@query("p3_clusters", f"{_P3_LABELS} SELECT *, count(*) OVER (PARTITION BY {', '.join(_CENTRE)}) AS cluster_size FROM c")
 def p3_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every usable function with its cluster's centre, and the cluster's size."""
-    c = _peaks(spark, sf_dir).clusters()
-    centre = [f"centre_{m}" for m in _MEASURES]
-    return c.join(c.groupBy(*centre).agg(F.count("*").alias("cluster_size")), centre)
+    c = cut(_peaks(spark, sf_dir).clusters())
+    return c.join(c.groupBy(*_CENTRE).agg(F.count("*").alias("cluster_size")), _CENTRE)
+
+
+@query("p3_described", f"""{_P3_LABELS}, g AS (SELECT {', '.join(_CENTRE)}, {', '.join(_MEASURES)}, count(*) AS held FROM c GROUP BY ALL),
+r AS (SELECT *, sum(held) OVER (PARTITION BY {', '.join(_CENTRE)})::BIGINT AS cluster_size, row_number() OVER (PARTITION BY {', '.join(_CENTRE)} ORDER BY held DESC, {', '.join(_MEASURES)}) AS place FROM g)
+SELECT * FROM r WHERE place <= 3""")
+def p3_described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cluster with its size and its three most typical combinations."""
+    return _peaks(spark, sf_dir).described()
 
 
 # --- 4: top N items within every group ---
@@ -121,19 +146,38 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- 7: all similar pairs between set-valued records ---
 
 
-@query("p7_found", f"""
-WITH w AS (SELECT DISTINCT {_plain('file')} AS file, name, trim(regexp_replace(trim(callee, E' \\t\\n\\r'), '(\\(\\))+$', ''), E' \\t\\n\\r') AS w FROM fn_callsets WHERE name IS NOT NULL AND file IS NOT NULL),
-v AS (SELECT * FROM w WHERE w <> ''),
+def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Callees of the records, cleaned."""
+    white = F.lit(" \t\n\r")
+    callee = F.btrim(F.regexp_replace(F.btrim("callee", white), r"(\(\))+$", ""), white)
+    return table(spark, sf_dir, "fn_callsets").select(plain_path("file").alias("file"), "name", callee.alias("callee"))
+
+
+_P7_ITEMS = f"""SELECT * FROM (SELECT DISTINCT {_plain('file')} AS file, name, trim(regexp_replace(trim(callee, E' \\t\\n\\r'), '(\\(\\))+$', ''), E' \\t\\n\\r') AS w
+    FROM fn_callsets WHERE name IS NOT NULL AND file IS NOT NULL) WHERE w <> ''"""
+_P7 = f"""
+WITH v AS ({_P7_ITEMS}),
 n AS (SELECT file, name, count(*) AS n FROM v GROUP BY ALL HAVING count(*) >= 4),
 u AS (SELECT v.*, n.n FROM v JOIN n USING (file, name)),
 o AS (SELECT a.file AS file_a, a.name AS name_a, b.file AS file_b, b.name AS name_b, a.n AS na, b.n AS nb, count(*) AS o FROM u a JOIN u b
     ON a.w = b.w AND (a.file < b.file OR (a.file = b.file AND a.name < b.name)) AND a.n * 7 <= b.n * 10 AND b.n * 7 <= a.n * 10 GROUP BY ALL)
-SELECT file_a, name_a, file_b, name_b FROM o WHERE o * 10 >= (na + nb - o) * 7""")
+SELECT file_a, name_a, file_b, name_b FROM o WHERE o * 10 >= (na + nb - o) * 7"""
+
+
+@query("p7_found", _P7)
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    white = F.lit(" \t\n\r")
-    callee = F.btrim(F.regexp_replace(F.btrim("callee", white), r"(\(\))+$", ""), white)
-    calls = table(spark, sf_dir, "fn_callsets").select(plain_path("file").alias("file"), "name", callee.alias("callee"))
-    return similar_set_pairs(calls, ["file", "name"], "callee")
+    return similar_set_pairs(_calls(spark, sf_dir), ["file", "name"], "callee")
+
+
+@query("p7_links", f"""
+WITH p AS ({_P7}), e AS (SELECT file_a AS file, name_a AS name, 1 AS k FROM p UNION ALL SELECT file_b, name_b, 1 FROM p),
+k AS (SELECT file, name, count(*) AS links FROM e GROUP BY ALL),
+c AS (SELECT file, name, list_sort(list(DISTINCT w)) AS s FROM ({_P7_ITEMS}) GROUP BY ALL HAVING count(DISTINCT w) >= 4),
+h AS (SELECT *, first_value(file) OVER w AS class_file, first_value(name) OVER w AS class_name FROM c WINDOW w AS (PARTITION BY s ORDER BY file, name))
+SELECT h.file, h.name, class_file, class_name, coalesce(links, 0) AS links FROM h LEFT JOIN k USING (file, name)""")
+def p7_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record with the first record of equal callees and the number of records similar to it."""
+    return linked_records(_calls(spark, sf_dir), ["file", "name"], "callee")
 
 
 # --- 8: filling fixed-capacity containers ---
@@ -142,7 +186,17 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p8_containers")
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The container of every text, or of its parts if it alone exceeds one."""
-    return pack(cut(token_counts(table(spark, sf_dir, "documents"))))
+    return pack(token_counts(table(spark, sf_dir, "documents")))
+
+
+#: Containers that are bounded by each of the three constraints: 2,048 tokens, 12 texts, and half the attention cost of one full-length text.
+TIGHT = Capacity(tokens=2048, docs=12, attention=2048 * 1024)
+
+
+@query("p8_tight")
+def p8_tight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every text under a count of texts and an attention cost that bind before the tokens do."""
+    return pack(token_counts(table(spark, sf_dir, "documents")), TIGHT)
 
 
 @query("p8_fill")

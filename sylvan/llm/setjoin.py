@@ -6,10 +6,10 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import cut, ensure_importable
+from ..runtime import ensure_importable, store
 
 
 def overlap_needed(s: int, t: int, num: int, den: int) -> int:
@@ -17,10 +17,6 @@ def overlap_needed(s: int, t: int, num: int, den: int) -> int:
     return -(-num * (s + t) // (num + den))
 
 
-def _ceil_div(a: Column, b: int) -> Column:
-    return F.floor((a + (b - 1)) / b).cast("int")
-
-
 def _subsets(small: int, least: int, num: int, den: int):
     """Threshold-sized subsets of the small sets: one row for each partner size and subset."""
     plans: dict[int, list[tuple[int, int, np.ndarray]]] = {}
@@ -36,64 +32,108 @@ def _subsets(small: int, least: int, num: int, den: int):
             sizes = b["n"].to_numpy()
             for s in np.unique(sizes):
                 part = b[sizes == s]
-                h = np.sort(np.stack(part["hashes"].to_list()).astype(np.int64), axis=1).view(np.uint64)
+                h = np.stack(part["hashes"].to_list()).astype(np.int64).view(np.uint64)  # in one order everywhere
                 for lo, hi, pick in plans.get(int(s), []):
                     key = np.full((len(part), len(pick)), mix, dtype=np.uint64)
                     for k in range(pick.shape[1]):
                         key = (key ^ h[:, pick[:, k]]) * mix
                         key ^= key >> np.uint64(29)
-                    yield pd.DataFrame({"id": np.repeat(part["id"].to_numpy(), len(pick)), "n": np.int32(s), "lo": np.int32(lo), "hi": np.int32(hi), "key": key.ravel().view(np.int64)})
+                    yield pd.DataFrame({"id": np.repeat(part["id"].to_numpy(), len(pick)), "copies": np.repeat(part["copies"].to_numpy(), len(pick)), "n": np.int32(s), "lo": np.int32(lo), "hi": np.int32(hi), "key": key.ravel().view(np.int64)})
 
     return run
 
 
-def similar_set_pairs(df: DataFrame, key: list[str], item: str, least: int = 4, num: int = 7, den: int = 10, small: int = 8, suffixes: tuple[str, str] = ("_a", "_b")) -> DataFrame:
-    """Pairs of records whose item sets hold at least ``least`` items each and share at least num/den of their union.
+#: Rows of one inverted list, and copies of one set, that a task takes; longer ones are split.
+LIST, COPIES = 20_000, 4096
 
-    ``df`` has one row per record and item. Rows with a null in ``key`` or a null or empty item are dropped; repeated
-    rows count once. Each pair comes once, the smaller key first, as ``key`` columns with the two suffixes. Other columns
-    are ignored, whatever their names. An empty table gives an empty result.
 
-    Records with equal sets form one class, and classes are joined, so copies cost nothing until the pairs are written.
-    Sets of at most ``small`` items enumerate the subsets of the size that a partner must share; two small sets are
-    similar exactly if they meet in one. Larger sets scan the inverted lists of their rarest items, as many as a partner
-    can't all miss, against sets of any size. The union of both is checked on the items themselves.
+def set_classes(df: DataFrame, key: list[str], item: str, least: int = 4) -> tuple[DataFrame, DataFrame]:
+    """(members, classes): records (``key``, id of their class) and classes of equal sets (id, items, n, copies) with at least ``least`` items.
+
+    ``df`` has one row per record and item. Rows with a null in ``key`` or a null or empty item are dropped; repeated rows
+    count once. Sets are collected in part before the shuffle, as 64-bit hashes of the items, so no text of an item is ever
+    shuffled and a record with very many repeated rows sends few. Two items of a pair of sets share a hash with a chance
+    of 2^-64, which is the only way in which a result can differ from the texts'. One record's distinct items must fit a row.
     """
     ensure_importable(df.sparkSession)
     ok = F.col(item).isNotNull() & (F.col(item) != "")
     for k in key:
         ok = ok & F.col(k).isNotNull()
-    member = df.where(ok).select(*key, F.col(item).alias("__item")).distinct().groupBy(*key).agg(F.array_sort(F.collect_list("__item")).alias("items")).where(F.size("items") >= least)
-    member = cut(member.select(*key, "items", F.md5(F.to_json("items")).alias("id")))
-    classes = cut(member.groupBy("id").agg(F.first("items").alias("items"), F.count("*").alias("copies")).select("id", "items", "copies", F.size("items").alias("n")))
-
-    # small sets: threshold-sized subsets
-    subset = classes.where(F.col("n") <= small).select("id", "n", F.expr("transform(items, x -> xxhash64(x))").alias("hashes"))
-    subset = subset.mapInPandas(_subsets(small, least, num, den), "id string, n int, lo int, hi int, key long")
-    sl = subset.where("n = lo").select(F.col("id").alias("x"), "lo", "hi", "key")
-    sr = subset.where("n = hi").select(F.col("id").alias("y"), "lo", "hi", "key")
-    found = sl.join(sr, ["lo", "hi", "key"]).where("lo < hi or x < y").select("x", "y")
-
-    # large sets: inverted lists of the rarest items
-    words = classes.select("id", "n", F.explode("items").alias("w"))
+    sets = df.where(ok).select(*key, F.xxhash64(item).alias("__item")).groupBy(*key).agg(F.array_sort(F.collect_set("__item")).alias("items")).where(F.size("items") >= least)
+    whole = store(sets.select(*key, "items", F.unhex(F.md5(F.array_join(F.col("items").cast("array<string>"), ","))).alias("id")))
+    classes = whole.groupBy("id").agg(F.first("items").alias("items"), F.count("*").alias("copies")).select("id", "items", F.size("items").alias("n"), "copies")
+    return whole.select(*key, "id"), store(classes)
+
+
+def similar_classes(classes: DataFrame, least: int = 4, num: int = 7, den: int = 10, small: int = 8) -> DataFrame:
+    """(x, y, cx, cy): pairs of different classes that share at least num/den of their union, x < y, each once, with their copies.
+
+    Sets of at most ``small`` items enumerate the subsets of the size that a partner must share; two small sets are
+    similar exactly if they meet in one, so that every row a subset's join gives is a similar pair. Larger sets scan the inverted lists
+    of their rarest items, as many as a partner can't all miss, against sets of any size that can reach the threshold; a pair
+    goes on only if what stands behind the meeting point in both can suffice, and is checked on all items. A list of more than LIST
+    entries is dealt over tasks, the scanning side by hash, the other to each.
+    """
+    subset = classes.where(F.col("n") <= small).select("id", "n", "copies", F.col("items").alias("hashes"))
+    subset = subset.mapInPandas(_subsets(small, least, num, den), "id binary, copies long, n int, lo int, hi int, key long")
+    sl = subset.where("n = lo").select(F.col("id").alias("x"), F.col("copies").alias("cx"), "lo", "hi", "key")
+    sr = subset.where("n = hi").select(F.col("id").alias("y"), F.col("copies").alias("cy"), "lo", "hi", "key")
+    met = sl.join(sr, ["lo", "hi", "key"]).where("lo < hi or x < y").select("x", "y", "cx", "cy")
+
+    partner = -(-num * (small + 1) // den)  # no smaller set can have a large one as partner
+    words = classes.where(F.col("n") >= partner).select("id", "n", F.explode("items").alias("w"))
     count = words.groupBy("w").agg(F.count("*").alias("df"))
     ranked = words.join(count, "w").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("r"))
-    prefix = ranked.select("id", "n", F.explode(F.expr(f"slice(r, 1, n - cast(ceil(n * {num} / {den}) as int) + 1)")).alias("e")).select("id", "n", F.col("e.w").alias("w"))
+    prefix = ranked.select("id", "n", F.posexplode(F.expr(f"slice(r, 1, n - cast(ceil(n * {num} / {den}) as int) + 1)")).alias("at", "e"))
+    prefix = prefix.select("id", "n", "at", F.col("e.w").alias("w"), F.ceil(F.col("e.df") / LIST).cast("int").alias("parts"))
+    pl = prefix.where(F.col("n") > small).select(F.col("id").alias("x"), "n", "at", "w", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"))
+    pr = prefix.select(F.col("id").alias("y"), F.col("n").alias("m"), F.col("at").alias("bt"), "w", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     fits = (F.col("m") * den >= F.col("n") * num) & (F.col("m") * num <= F.col("n") * den)
-    pl = prefix.where(F.col("n") > small).select(F.col("id").alias("x"), "n", "w")
-    pr = prefix.select(F.col("id").alias("y"), F.col("n").alias("m"), "w")
-    scan = pl.join(pr, "w").where(fits & ((F.col("m") <= small) | (F.col("x") < F.col("y")))).select("x", "y")
-
-    both = found.unionByName(scan).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    both = both.join(classes.select(F.col("id").alias("x"), F.col("items").alias("p")), "x").join(classes.select(F.col("id").alias("y"), F.col("items").alias("q")), "y")
+    enough = (1 + F.least(F.col("n") - 1 - F.col("at"), F.col("m") - 1 - F.col("bt"))) * (num + den) >= (F.col("n") + F.col("m")) * num
+    scan = pl.join(pr, ["w", "part"]).where(fits & enough & ((F.col("m") <= small) | (F.col("x") < F.col("y")))).select("x", "y").distinct()
+    side = lambda c, i, n: classes.select(F.col("id").alias(c), F.col("items").alias(i), F.col("copies").alias(n))
     shared = F.size(F.array_intersect("p", "q"))
-    both = both.where(shared * den >= (F.size("p") + F.size("q") - shared) * num).select("x", "y")
-
-    # members of the classes
-    rec = F.struct(*key)
-    one, two = member.select(F.col("id").alias("x"), rec.alias("u")), member.select(F.col("id").alias("y"), rec.alias("v"))
-    across = both.join(one, "x").join(two, "y").select("u", "v")
-    many = classes.where("copies > 1").select(F.col("id").alias("x"))
-    within = one.join(many, "x", "left_semi").join(two.withColumnRenamed("y", "x"), "x").where("u < v").select("u", "v")
-    pairs = across.unionByName(within).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    scan = scan.join(side("x", "p", "cx"), "x").join(side("y", "q", "cy"), "y").where(shared * den >= (F.size("p") + F.size("q") - shared) * num)
+
+    turned = F.col("x") > F.col("y")
+    pick = lambda a, b: F.when(turned, F.col(b)).otherwise(F.col(a)).alias(a)
+    return met.distinct().unionByName(scan.select("x", "y", "cx", "cy")).select(pick("x", "y"), pick("y", "x"), pick("cx", "cy"), pick("cy", "cx"))
+
+
+def similar_set_pairs(df: DataFrame, key: list[str], item: str, least: int = 4, num: int = 7, den: int = 10, small: int = 8, suffixes: tuple[str, str] = ("_a", "_b")) -> DataFrame:
+    """Pairs of records whose item sets hold at least ``least`` items each and share at least num/den of their union.
+
+    Rows as for ``set_classes``. Each pair comes once, the smaller key first, as ``key`` columns with the two suffixes. Other
+    columns are ignored, whatever their names. An empty table gives an empty result.
+
+    Records with equal sets form one class, and classes are joined, so copies cost nothing until the pairs are written; then
+    a class of more than COPIES records is dealt over tasks. Where pairs of copies are not wanted, ``linked_records`` has one
+    row a record.
+    """
+    member, classes = set_classes(df, key, item, least)
+    parts = lambda c: F.ceil(F.col(c) / COPIES).cast("int")
+    rec = member.join(classes.where(F.col("copies") > COPIES).select("id", parts("copies").alias("parts")), "id", "left")
+    rec = rec.select("id", F.struct(*key).alias("rec"), F.pmod(F.xxhash64(*key), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
+    same = classes.where("copies > 1").select(F.col("id").alias("x"), F.col("id").alias("y"), F.col("copies").alias("cx"), F.col("copies").alias("cy"))
+    both = similar_classes(classes, least, num, den, small).unionByName(same)
+    both = both.withColumn("px", F.explode(F.sequence(F.lit(0), parts("cx") - 1)))
+    both = both.withColumn("py", F.explode(F.sequence(F.lit(0), parts("cy") - 1)))
+    one = rec.select(F.col("id").alias("x"), F.col("part").alias("px"), F.col("rec").alias("u"))
+    two = rec.select(F.col("id").alias("y"), F.col("part").alias("py"), F.col("rec").alias("v"))
+    pairs = both.select("x", "px", "y", "py").join(one, ["x", "px"]).join(two, ["y", "py"]).where("x <> y or u < v")
+    pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     return pairs.select(*[F.col(f"u.{k}").alias(k + suffixes[0]) for k in key], *[F.col(f"v.{k}").alias(k + suffixes[1]) for k in key])
+
+
+def linked_records(df: DataFrame, key: list[str], item: str, least: int = 4, num: int = 7, den: int = 10, small: int = 8) -> DataFrame:
+    """One row per record of at least ``least`` items: ``key``, its class (the smallest record with the same set, ``class_`` columns) and the number of its ``links``.
+
+    A link is a pair that ``similar_set_pairs`` would give; links are counted from classes and copies, so no pair of copies is formed.
+    """
+    member, classes = set_classes(df, key, item, least)
+    met = store(similar_classes(classes, least, num, den, small))
+    ends = met.select(F.col("x").alias("id"), F.col("cy").alias("far")).unionByName(met.select(F.col("y").alias("id"), F.col("cx").alias("far")))
+    far = ends.groupBy("id").agg(F.sum("far").alias("far"))
+    head = member.groupBy("id").agg(F.min(F.struct(*key)).alias("head"), F.count("*").alias("copies"))
+    head = head.join(far, "id", "left").select("id", "head", (F.col("copies") - 1 + F.coalesce("far", F.lit(0))).alias("links"))
+    return member.join(head, "id").select(*key, *[F.col(f"head.{k}").alias(f"class_{k}") for k in key], "links")

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..runtime import ensure_importable
 
@@ -98,7 +99,8 @@ def top_n(df: DataFrame, group: str, score: str, ids: list[str], n: int = 3, pla
 
     ``ids`` tell items apart inside a group; an item given more than once counts once, with its highest score. Rows with
     null in the group, the score or an id, or with a NaN score, do not count. Ties are broken by the ids, so the result is
-    always the same. An empty table gives an empty result. Only the named columns are read; others may have any name.
+    always the same. An empty table gives an empty result. Only the named columns are read; others may have any name. The group
+    and the ids may be of any type that has an order.
 
     Heaps are filled before the shuffle, so a group with a third of all rows sends n rows from each task, not all of them;
     the heaps are merged after it.
@@ -109,8 +111,7 @@ def top_n(df: DataFrame, group: str, score: str, ids: list[str], n: int = 3, pla
     for c in cols:
         ok = ok & F.col(c).isNotNull()
     src = df.where(ok).select(group, (F.col(score).cast("double") + F.lit(0.0)).alias(score), *ids)
-    types = {T.StringType(): pa.string(), T.LongType(): pa.int64(), T.DoubleType(): pa.float64(), T.IntegerType(): pa.int32()}
-    arrow = [(c, types[src.schema[c].dataType]) for c in cols]
+    arrow = [(c, to_arrow_type(src.schema[c].dataType)) for c in cols]
     out = T.StructType([src.schema[group], T.StructField(place, T.LongType()), *[src.schema[c] for c in cols[1:]]])
     filled = src.mapInArrow(_fill(group, score, ids, n, pa.schema(arrow)), src.schema)
     merge = _merge(group, score, ids, n, pa.schema([arrow[0], (place, pa.int64()), *arrow[1:]]))

@@ -212,11 +212,30 @@ def test_packing(spark, choose, shard):
 
 def test_attention_capacity_is_kept():
     sizes = np.array([500] * 20)
-    cap = Capacity(tokens=2000, attention=600_000)
-    box = best_fit(sizes, cap)
-    assert max(np.bincount(box)) == 2
+    assert max(np.bincount(best_fit(sizes, Capacity(tokens=2000, attention=600_000)))) == 2
     with pytest.raises(ValueError):
-        pack(None, cap)
+        pack(None, Capacity(attention=0))
+
+
+def test_every_constraint_binds_and_changes_the_packing(spark):
+    rng = random.Random(13)
+    sizes = {k: rng.choice([3, 5, 9, 60, 200, 700, 900, 1500, 2000, 3000]) for k in range(500)}
+    df = spark.createDataFrame(list(sizes.items()), "doc_id long, n_tokens long")
+    got, boxes = {}, {}
+    for name, cap in {"tokens": Capacity(), "docs": Capacity(docs=6), "attention": Capacity(attention=1024 * 1024), "all": Capacity(docs=6, attention=1024 * 1024)}.items():
+        got[name] = [tuple(r) for r in pack(df, cap).collect()]
+        parts = {}
+        for _, _, n, box in got[name]:
+            parts.setdefault(box, []).append(n)
+        assert all(sum(v) <= cap.tokens and len(v) <= cap.docs and sum(x * x for x in v) <= cap.attention for v in parts.values())
+        assert all(sum(n for d, _, n, _ in got[name] if d == k) == s for k, s in sizes.items())
+        assert all(n <= cap.longest for _, _, n, _ in got[name])
+        boxes[name] = parts
+    assert max(map(len, boxes["docs"].values())) == 6 < max(map(len, boxes["tokens"].values()))
+    cost = lambda v: sum(x * x for x in v)
+    assert max(map(cost, boxes["tokens"].values())) > 1024 * 1024 >= max(map(cost, boxes["attention"].values())) > 0.9 * 1024 * 1024
+    together = {name: frozenset(frozenset((d, p) for d, p, _, b in rows_ if b == box) for box in boxes[name]) for name, rows_ in got.items()}
+    assert len(set(together.values())) == 4
 
 
 def test_token_counts(spark):
