@@ -1,7 +1,6 @@
 """Evaluation texts leaking into training text: size-partitioned MinHash containment search, then exact containment."""
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,134 +9,198 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..runtime import ensure_importable
+from ..runtime import ensure_importable, store
 from .words import NONE, WORD, shingle_hashes, window_min
 
 #: Texts are cut into pieces of so many words (overlapping by a passage less one), so arrays stay small for texts of any length.
 PIECE = 1 << 20
+#: Bytes of index that one word of the items takes at most: its number's entry, its text in the dictionary, its window's sketch and place.
+WORD_BYTES = 200
+#: Tasks that share the documents of one passage in the join of large item sets.
+SALT = 16
 
 
-def _hash(w: str) -> int:
-    return xxhash.xxh3_64_intdigest(w) or 1
+def _words(text: str | None) -> list[str]:
+    return WORD.findall(text.lower()) if text else []
+
+
+def size_class(n: int) -> int:
+    """Size partition of an item with n sketches: 2^(k-1) to 2^k - 1 of them."""
+    return n.bit_length()
+
+
+def class_threshold(k: int) -> float:
+    """Share of an item's sketches that a document must hold to be a candidate, for the size class k.
+
+    A document that holds one passage of an item holds its sketch, and an item of the class has fewer than 2^k: so no document with a
+    passage lies below the threshold, and within a class the threshold is at most a factor of two under an item's own.
+    """
+    return 1 / ((1 << k) - 1)
 
 
 class ItemIndex:
-    """Sketches of the items: the MinHash of every passage, and the passages themselves for the exact check.
+    """Items partitioned by size, with the MinHash sketches of their passages, and their words for the exact check.
 
     Containment of a whole item in a document says little when the item is long and only a passage leaked, and the MinHash
-    of a long document as a whole says nothing about a short passage. So both sides are cut to one size: an item is the
-    set of its passages of ``passage`` words, a document the set of its windows of as many, and the sketch of each is the
-    smallest hash among its shingles. A passage that stands in a document has its sketch among the document's sketches for
-    certain, whatever the sizes, so nothing is missed.
+    of a long document as a whole says nothing about a short item. So both sides are cut to the size of a passage: the
+    sketch of an item is the set of the smallest shingle hashes of its windows of ``passage`` words, and likewise for a document.
+    The share of an item's sketches that a document holds estimates the containment; candidates reach the threshold of the
+    item's size class; their windows are then compared word by word. Words are numbered, so the comparison is exact.
     """
 
     def __init__(self, items: list[tuple[int, str]], passage: int, shingle: int):
         self.passage, self.shingle = passage, shingle
-        self.word_hash: dict[str, int] = {}
-        self.number: dict[int, int] = {}
-        self.passages: dict[bytes, set[int]] = defaultdict(set)
-        sketches = [np.empty(0, np.uint64)]
-        for item, text in items:
-            words = WORD.findall((text or "").lower())
-            for w in words:
-                self.word_hash.setdefault(w, _hash(w))
-            a = np.array([self.word_hash[w] for w in words], dtype=np.uint64)
-            sketches.append(window_min(shingle_hashes(a, shingle), passage - shingle + 1))
-            for k in range(len(words) - passage + 1):
-                self.passages[a[k : k + passage].tobytes()].add(item)
-        self.sketches = np.unique(np.concatenate(sketches))
-        if len(set(self.word_hash.values())) < len(self.word_hash):
-            raise RuntimeError("two item words have one hash")
-
-    def search(self, texts: list[str | None]) -> list[tuple[int, int, int]]:
-        """(index of the text, item, passages of the item found), for every item with a passage in the text."""
-        get, found, p = self.word_hash.get, defaultdict(set), self.passage
+        self.numbers: dict[str, int] = {}
+        put, flat, starts = self.numbers.setdefault, [0], []
+        for _, text in items:
+            starts.append(len(flat))
+            flat += [put(w, len(self.numbers) + 1) for w in _words(text)]
+            flat.append(0)
+        self.ids = np.array([i for i, _ in items], np.int64)
+        self.words = np.array(flat, np.uint64)
+        place, sketch = self._windows(self.words)
+        order = np.argsort(sketch, kind="stable")
+        self.place, self.sketch = place[order], sketch[order]
+        self.owner = (np.searchsorted(starts, self.place, "right") - 1).astype(np.int64)  # number of the item a window lies in
+        windows = np.lib.stride_tricks.sliding_window_view(self.words, passage)[self.place] if len(self.place) else np.empty((0, passage), np.uint64)
+        _, self.number = np.unique(np.ascontiguousarray(windows).view(f"V{8 * passage}").ravel(), return_inverse=True)  # equal passages have one number
+        self.held = np.bincount(np.unique(np.stack([self.owner, self.number], 1), axis=0)[:, 0], minlength=len(items))
+        sketches = np.bincount(np.unique(np.stack([self.owner.view(np.uint64), self.sketch], 1), axis=0)[:, 0].astype(np.int64), minlength=len(items))
+        self.least = np.array([class_threshold(size_class(int(n))) * n if n else 1 for n in sketches])  # sketches a candidate must hold
+
+    def _windows(self, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the windows without an unknown word, and their sketches."""
+        if len(a) < self.passage:
+            return np.empty(0, np.int64), np.empty(0, np.uint64)
+        gap = np.cumsum(np.concatenate([[0], a == 0]))
+        place = np.flatnonzero(gap[self.passage :] == gap[: -self.passage])
+        return place, window_min(shingle_hashes(a, self.shingle), self.passage - self.shingle + 1)[place]
+
+    def search(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(index of the text, number of the item, passage) of every passage of an item that stands in a text, each once."""
+        get, p = self.numbers.get, self.passage
         parts, owner, starts, at = [], [], [], 0
         for i, t in enumerate(texts):
-            if not t:
-                continue
-            words = WORD.findall(t.lower())
+            words = _words(t)
             for s in range(0, max(1, len(words) - p + 1), PIECE):
                 a = np.array([get(w, 0) for w in words[s : s + PIECE + p - 1]] + [0], dtype=np.uint64)
                 parts.append(a)
                 owner.append(i)
                 starts.append(at)
                 at += len(a)
-        if not parts:
-            return []
+        none = np.empty(0, np.int64)
+        if not parts or not len(self.sketch):
+            return none, none, none
         a = np.concatenate(parts)
-        sketch = window_min(shingle_hashes(a, self.shingle), p - self.shingle + 1)
-        # the smallest is NONE only if all are; a window with an unknown word in it is no passage of an item
-        known = np.flatnonzero(np.convolve(a == 0, np.ones(p, np.int8), "valid") == 0) if len(a) >= p else np.empty(0, np.int64)
-        known = known[sketch[known] != NONE]
-        hit = known[np.isin(sketch[known], self.sketches)]
-        doc = np.array(owner)[np.searchsorted(starts, hit, "right") - 1] if len(hit) else []
-        for pos, i in zip(hit.tolist(), np.asarray(doc).tolist(), strict=True):
-            key = a[pos : pos + p].tobytes()
-            for item in self.passages.get(key, ()):
-                found[i, item].add(key)
-        return [(i, item, len(v)) for (i, item), v in found.items()]
+        place, sketch = self._windows(a)
+        lo, hi = np.searchsorted(self.sketch, sketch, "left"), np.searchsorted(self.sketch, sketch, "right")
+        hit = np.flatnonzero(hi > lo)
+        if not len(hit):
+            return none, none, none
+        n = (hi - lo)[hit]
+        entry = np.repeat(lo[hit] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        doc = np.repeat(np.array(owner)[np.searchsorted(starts, place[hit], "right") - 1], n)
+        item, at = self.owner[entry], np.repeat(place[hit], n)
+        # candidates: distinct sketches held, against the threshold of the item's size class
+        pair = doc * len(self.ids) + item
+        met = np.unique(np.stack([pair.view(np.uint64), self.sketch[entry]], 1), axis=0)[:, 0].astype(np.int64)
+        known, count = np.unique(met, return_counts=True)
+        good = known[count >= self.least[known % len(self.ids)] - 1e-9]
+        ok = np.isin(pair, good)
+        for k in range(p):  # the exact check, word by word
+            ok[ok] = a[at[ok] + k] == self.words[self.place[entry[ok]] + k]
+        found = np.unique(np.stack([doc[ok], item[ok], self.number[entry[ok]]], 1), axis=0)
+        return found[:, 0], found[:, 1], found[:, 2]
+
+
+def _hashes(words: list[str], seen: dict[str, int]) -> np.ndarray:
+    if len(seen) > 1_000_000:
+        seen.clear()
+    return np.array([seen.get(w) or seen.setdefault(w, xxhash.xxh3_64_intdigest(w) or 1) for w in words], dtype=np.uint64)
 
 
 def _sketch_rows(id_: str, text: str, passage: int, shingle: int):
-    """(id, sketch) of every window, each once: for item sets that are too large to broadcast."""
+    """(id, sketch) of every window, each once a text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[str, int] = {}
         for b in batches:
             for i, t in zip(b[id_], b[text], strict=True):
-                words = WORD.findall((t or "").lower())
+                words = _words(t)
                 for s in range(0, max(1, len(words) - passage + 1), PIECE):
-                    if len(seen) > 1_000_000:
-                        seen.clear()
-                    a = np.array([seen.get(w) or seen.setdefault(w, _hash(w)) for w in words[s : s + PIECE + passage - 1]], dtype=np.uint64)
-                    m = np.unique(window_min(shingle_hashes(a, shingle), passage - shingle + 1))
+                    m = np.unique(window_min(shingle_hashes(_hashes(words[s : s + PIECE + passage - 1], seen), shingle), passage - shingle + 1))
                     if len(m):
                         yield pd.DataFrame({id_: i, "sketch": m.view(np.int64)})
 
     return run
 
 
-def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", passage: int = 15, shingle: int = 5, broadcast_chars: int = 32_000_000) -> DataFrame:
-    """(doc_id, item_id, passages): documents that hold at least ``passage`` consecutive words of an item, and how many such passages of it.
+def _passage_rows(id_: str, text: str, passage: int, shingle: int, only: str | None = None):
+    """(id, h, passage) of every window, or of those whose sketch stands in the array ``only``; h is the hash of its words."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[str, int] = {}
+        for b in batches:
+            for i, t, wanted in zip(b[id_], b[text], b[only] if only else [None] * len(b), strict=True):
+                words = _words(t)
+                for s in range(0, max(1, len(words) - passage + 1), PIECE):
+                    a = _hashes(words[s : s + PIECE + passage - 1], seen)
+                    h = shingle_hashes(a, passage)
+                    keep = np.arange(len(h)) if wanted is None else np.flatnonzero(np.isin(window_min(shingle_hashes(a, shingle), passage - shingle + 1).view(np.int64), wanted))
+                    if len(keep):
+                        yield pd.DataFrame({id_: i, "h": h[keep].view(np.int64), "passage": [" ".join(words[s + k : s + k + passage]) for k in keep.tolist()]})
+
+    return run
 
-    Words are runs of letters or digits in lower case, whatever stands between them. Null and blank texts hold nothing;
-    items of fewer words than a passage can't be found. Repeated rows count once; two items with the same text are both
-    reported. Empty tables give an empty result. Texts are searched whole. Other columns are ignored, whatever their names.
 
-    While the items have at most ``broadcast_chars`` characters, which is measured first, their index goes to every task
-    and documents are searched where they are read. A larger item set is sketched in tasks and joined on the sketch; the
-    pairs that meet are checked exactly on the two texts.
+def _joined(docs: DataFrame, items: DataFrame, passage: int, shingle: int) -> DataFrame:
+    """(doc_id, item_id, passages, held) by joins, for item sets of any size.
+
+    Sketches of documents meet those of items; only documents with a hit are read again, and of them only the windows of a
+    sketch that hit. These meet the items' passages on a hash and are compared as text. A passage that stands in very many documents
+    has them dealt over SALT tasks, as do the items that hold it.
+    """
+    sketches = items.mapInPandas(_sketch_rows("item_id", "item_text", passage, shingle), "item_id long, sketch long").select("sketch").distinct()
+    hits = docs.mapInPandas(_sketch_rows("doc_id", "text", passage, shingle), "doc_id long, sketch long").join(sketches, "sketch", "left_semi")
+    hits = hits.groupBy("doc_id").agg(F.collect_set("sketch").alias("hit"))
+    there = docs.join(hits, "doc_id").mapInPandas(_passage_rows("doc_id", "text", passage, shingle, "hit"), "doc_id long, h long, passage string").distinct()
+    known = store(items.mapInPandas(_passage_rows("item_id", "item_text", passage, shingle), "item_id long, h long, passage string").distinct())
+    held = known.groupBy("item_id").agg(F.count("*").alias("held"))
+    there = there.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)))
+    known = known.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+    both = there.join(known, ["h", "passage", "salt"]).groupBy("doc_id", "item_id").agg(F.count("*").alias("passages"))
+    return both.join(held, "item_id")
+
+
+def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", passage: int = 15, shingle: int = 5, index_bytes: int = 256 << 20) -> DataFrame:
+    """(doc_id, item_id, passages, containment): documents that hold at least ``passage`` consecutive words of an item.
+
+    ``passages`` counts the item's different passages that stand in the document (in any row with its id), ``containment``
+    is their share of all different passages of the item. Words are runs of letters or digits in lower case, whatever stands
+    between them. Null and blank texts hold nothing; items of fewer words than a passage can't be found. Repeated rows
+    count once; two items with the same text are both reported. Empty tables give an empty result. Texts are searched whole. Other
+    columns are ignored, whatever their names.
+
+    The items' index (see ``ItemIndex``) goes to every task if it takes at most ``index_bytes``, which is computed from their
+    words first; documents are then searched where they are read, and only what leaked is shuffled. A larger item set is joined
+    on sketches (see ``_joined``) with the same result.
     """
     ensure_importable(docs.sparkSession)
     items = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("item_text")).distinct()
     docs = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    out = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("passages", T.LongType())])
-    chars = items.agg(F.sum(F.length("item_text"))).first()[0] or 0
-    if chars <= broadcast_chars:
-        index = docs.sparkSession.sparkContext.broadcast(ItemIndex([tuple(r) for r in items.collect()], passage, shingle))
-        schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("passages", pa.int64())])
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                ids = b.column("doc_id").to_pylist()
-                rows = index.value.search(b.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([pa.array([ids[r[0]] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], schema=schema)
-
-        found = docs.mapInArrow(run, out)
-    else:
-        d = docs.mapInPandas(_sketch_rows("doc_id", "text", passage, shingle), "doc_id long, sketch long")
-        i = items.mapInPandas(_sketch_rows("item_id", "item_text", passage, shingle), "item_id long, sketch long")
-        meet = d.join(i, "sketch").select("doc_id", "item_id").distinct()
-
-        def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                rows = []
-                for r in b.itertuples(index=False):
-                    rows += [(r.doc_id, item, n) for _, item, n in ItemIndex([(r.item_id, r.item_text)], passage, shingle).search([r.text])]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "passages"])
-
-        found = meet.join(items, "item_id").join(docs, "doc_id").mapInPandas(check, out)
-    return found.groupBy("doc_id", "item_id").agg(F.max("passages").alias("passages"))
+    words = items.agg(F.sum(F.size(F.split("item_text", r"[^\p{L}\p{N}]+")))).first()[0] or 0
+    if words * WORD_BYTES > index_bytes:
+        return _joined(docs, items, passage, shingle).select("doc_id", "item_id", "passages", (F.col("passages") / F.col("held")).alias("containment"))
+    index = docs.sparkSession.sparkContext.broadcast(ItemIndex(sorted(tuple(r) for r in items.collect()), passage, shingle))
+    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("passage", pa.int64()), ("held", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = index.value
+        for b in batches:
+            doc, item, number = x.search(b.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(doc)), pa.array(x.ids[item]), pa.array(number.astype(np.int64)), pa.array(x.held[item].astype(np.int64))], schema=schema)
+
+    found = docs.mapInArrow(run, "doc_id long, item_id long, passage long, held long")
+    both = found.groupBy("doc_id", "item_id").agg(F.size(F.collect_set("passage")).cast("long").alias("passages"), F.max("held").alias("held"))
+    return both.select("doc_id", "item_id", "passages", (F.col("passages") / F.col("held")).alias("containment"))

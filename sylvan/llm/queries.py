@@ -213,17 +213,24 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- 9: evaluation texts leaking into training text ---
 
 _P9_WORDS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
-
-
-@query("p9_found", f"""
+_P9 = f"""
 WITH d AS (SELECT doc_id AS id, {_P9_WORDS} AS w FROM documents), i AS (SELECT item_id AS id, {_P9_WORDS} AS w FROM eval_items),
 dp AS (SELECT id, array_to_string(w[k:k + 14], ' ') AS p FROM d, unnest(range(1, len(w) - 13)) AS t(k)),
-ip AS (SELECT id, array_to_string(w[k:k + 14], ' ') AS p FROM i, unnest(range(1, len(w) - 13)) AS t(k))
-SELECT DISTINCT dp.id AS doc_id, ip.id AS item_id FROM dp JOIN ip USING (p)""")
+ip AS (SELECT id, array_to_string(w[k:k + 14], ' ') AS p FROM i, unnest(range(1, len(w) - 13)) AS t(k))"""
+
+
+@query("p9_found", _P9 + " SELECT DISTINCT dp.id AS doc_id, ip.id AS item_id FROM dp JOIN ip USING (p)")
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
 
+@query("p9_containment", _P9 + """, n AS (SELECT id, count(DISTINCT p) AS held FROM ip GROUP BY id)
+SELECT dp.id AS doc_id, ip.id AS item_id, count(DISTINCT p) AS passages, count(DISTINCT p) / any_value(n.held) AS containment FROM dp JOIN ip USING (p) JOIN n ON n.id = ip.id GROUP BY ALL""")
+def p9_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of an item each affected document holds."""
+    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 # --- 10: repetition inside a single document ---
 
 _P10 = """

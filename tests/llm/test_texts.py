@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from conftest import rows
-from sylvan.llm.docpairs import bare, content, paired_functions
+from sylvan.llm.docpairs import bare, content, paired_functions, parent_types, parse_doc
 from sylvan.llm.hidden_language import STATES, fit, hidden_text, repair, running_text, sequences, spans, unescape
 from sylvan.llm.leaks import leaked_items
 from sylvan.llm.packing import TOKENIZER, Capacity, best_fit, pack, token_counts
@@ -35,8 +35,8 @@ def brute_leaks(docs, items, p):
     return sorted(out)
 
 
-@pytest.mark.parametrize("broadcast", [10**9, -1])
-def test_leaks(spark, broadcast):
+@pytest.mark.parametrize("limit", [10**9, -1])
+def test_leaks(spark, limit):
     rng = random.Random(6)
     vocab = [f"w{k}" for k in range(40)] + ["Über", "x9", "日本"]
     text = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
@@ -50,15 +50,26 @@ def test_leaks(spark, broadcast):
     docs += [(100, None), (101, ""), (102, "..."), (7, docs[7][1])]
     d = spark.createDataFrame([(*x, "clash", "clash") for x in docs], DOC)
     i = spark.createDataFrame([(*x, None) for x in items], EVAL)
-    got = leaked_items(d, i, broadcast_chars=broadcast)
+    got = leaked_items(d, i, index_bytes=limit)
+    grams = lambda t: {tuple(w[k : k + 15]) for w in [words_of(t)] for k in range(len(w) - 14)}
+    for r in got.collect():
+        item, there = grams(dict(items)[r.item_id]), grams(dict(docs)[r.doc_id])
+        assert (r.passages, r.containment) == (len(item & there), len(item & there) / len(item))
     assert rows(got.select("doc_id", "item_id")) == brute_leaks(docs, items, 15) != []
-    assert leaked_items(d.limit(0), i, broadcast_chars=broadcast).collect() == [] == leaked_items(d, i.limit(0), broadcast_chars=broadcast).collect()
+    assert leaked_items(d.limit(0), i, index_bytes=limit).collect() == [] == leaked_items(d, i.limit(0), index_bytes=limit).collect()
 
 
 def test_leak_at_the_end_of_a_very_long_text(spark):
     item = " ".join(f"k{n}" for n in range(20))
     d = spark.createDataFrame([(1, "a b " * 700_000 + item)], "doc_id long, text string")
-    assert rows(leaked_items(d, spark.createDataFrame([(3, item)], "item_id long, text string"))) == [(1, 3, 6)]
+    assert rows(leaked_items(d, spark.createDataFrame([(3, item)], "item_id long, text string"))) == [(1, 3, 6, 1.0)]
+
+
+def test_size_classes():
+    from sylvan.llm.leaks import class_threshold, size_class
+
+    for n in range(1, 300):
+        assert 0.5 / n < class_threshold(size_class(n)) <= 1 / n
 
 
 def test_window_min():
@@ -288,6 +299,33 @@ def test_documentation_many_generations_up(spark):
     assert rows(got.select("line", "doc_line", "from_line", "depth")) == [(3, 342, 343, 34), (343, 342, 343, 0)]
 
 
+def test_tags():
+    d = parse_doc("/**\n * Adds `x` up.\n * @param a the first  ----\n * :param b: second one\n * <b>bold</b>\n * {@inheritDoc}\n */")
+    assert d.text == "Adds `x` up. a the first second one bold" and d.inherits
+    assert d.tags == [("param", "a the first"), ("param", "b second one"), ("inheritdoc", "")]
+    assert parse_doc("// plain: words, e.g. this").tags == [] and not parse_doc("// inherit").inherits
+
+
+def test_parent_types(spark):
+    structs = [
+        ("p/a.rs", 1, "Own", "Base, Near<T>, Far, Two, Nobody, Own, Both"), ("p/a.rs", 9, "Base", ""), ("q/a.rs", 2, "Base", ""), ("p/b.rs", 3, "Near", None), ("q/c.rs", 4, "Near", None),
+        ("r/d.rs", 5, "Far", None), ("r/e.rs", 6, "Two", None), ("s/e.rs", 7, "Two", None), ("p/x.rs", 1, "Both", None), ("p/y.rs", 1, "Both", None), (None, 1, "Base", None), ("p/a.rs", None, "Far", None),
+    ]
+    got = rows(parent_types(spark.createDataFrame(structs * 2, S)).select("parent", "scope", "pfile", "pline"))
+    assert got == sorted([("Base", "file", "p/a.rs", 9), ("Near", "folder", "p/b.rs", 3), ("Far", "corpus", "r/d.rs", 5), ("Two", "ambiguous", None, None), ("Nobody", "unknown", None, None), ("Both", "ambiguous", None, None)], key=str)
+
+
+def test_documentation_that_asks_for_more(spark):
+    """A tag asks for the inherited text beside one's own; without a tag, one's own is all."""
+    structs = [("a", 1, "One", "Base"), ("a", 11, "Two", "Base"), ("a", 21, "Base", None), ("b", 1, "Three", "Base"), ("z", 1, "Base", None)]
+    functions = [("a", 3, "draw"), ("a", 13, "draw"), ("a", 23, "draw"), ("b", 3, "draw"), ("z", 3, "draw")]
+    comments = [("a", 2, "/// Draws in red and blue {@inheritDoc}", None, True), ("a", 12, "/// Draws in black and white", None, True), ("a", 22, "/// Draws every shape of it", None, True), ("z", 2, "/// Draws of an unrelated file", None, True)]
+    got = paired_functions(spark.createDataFrame(comments, C), spark.createDataFrame(functions, F_), spark.createDataFrame(structs, S))
+    want = [("a", 3, 2, "a", 3, 0), ("a", 3, 22, "a", 23, 1), ("a", 13, 12, "a", 13, 0), ("a", 23, 22, "a", 23, 0), ("z", 3, 2, "z", 3, 0)]  # Base is ambiguous for b
+    assert rows(got.select("file", "line", "doc_line", "from_file", "from_line", "depth")) == sorted(want)
+    assert {r.description for r in got.where("depth = 1").collect()} == {"Draws every shape of it"}
+
+
 def test_tie_between_struct_and_function(spark):
     got = paired_functions(spark.createDataFrame([("a", 1, "/// a b c d e", None, True)], C), spark.createDataFrame([("a", 3, "f")], F_), spark.createDataFrame([("a", 3, "S", None)], S))
     assert rows(got.select("name")) == [("f",)]
