@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -41,7 +42,8 @@ class DensityPeaks:
 
     Neighbours are joined in blocks: each bent measure is cut into cells wider than 2, a point is sent to the one or two
     cells that its neighbours can lie in, so at most 16 for four measures, and compared inside them only. The join runs
-    once; density, mass, gap and pointer of a point come from one aggregation of it.
+    twice: mass and gap come from an aggregation of plain numbers, which is hashed and never sorted; then only the pairs
+    at just that gap give the pointers.
 
     Rows with a null or negative measure do not count; rows equal in ids and measures count once. An empty table has no
     peaks and no clusters. Other columns are ignored, whatever their names.
@@ -53,50 +55,54 @@ class DensityPeaks:
         self.ids, self.measures, self.step, self.percent, self.share = ids, measures, step, percent, share
         usable = reduce(lambda x, m: x & F.col(m).isNotNull() & (F.col(m) >= 0), measures, F.lit(True))
         self.records = cut(records.where(usable).select(*ids, *measures).distinct())
-        self.points = cut(self.records.groupBy(*measures).agg(F.count("*").alias("held")).withColumn("density", F.col("held")))
+        self.bends = [f"__s{k}" for k in range(len(measures))]
+        bent = {b: scale(F.col(m), step, percent) for b, m in zip(self.bends, measures, strict=True)}
+        self.points = cut(self.records.groupBy(*measures).agg(F.count("*").alias("held")).withColumns({"density": F.col("held")} | bent))
         self.total = self.records.count()
         if density == "radius":
             around = self._neighbours().groupBy(*[F.col(f"a_{m}").alias(m) for m in measures]).agg(F.sum("b_held").alias("others"))
-            self.points = cut(self.points.drop("density").join(around, measures, "left").select(*measures, "held", (F.col("held") + F.coalesce("others", F.lit(0))).alias("density")))
+            self.points = cut(self.points.drop("density").join(around, measures, "left").select(*measures, "held", (F.col("held") + F.coalesce("others", F.lit(0))).alias("density"), *self.bends))
         self._shape: DataFrame | None = None
         self._peaks: DataFrame | None = None
 
     def _blocks(self, reach: bool) -> list[tuple[str, Column]]:
         """Cells of a point, or the cells that its neighbours can lie in."""
         out = []
-        for k, m in enumerate(self.measures):
-            s = scale(F.col(m), self.step, self.percent)
-            lo, hi = F.floor((s - 1 - 1e-9) / CELL), F.floor((s + 1 + 1e-9) / CELL)
-            out.append((f"__c{k}", F.explode(F.array_distinct(F.array(lo, hi))) if reach else F.floor(s / CELL)))
+        for k, s in enumerate(self.bends):
+            lo, hi = F.floor((F.col(s) - 1 - 1e-9) / CELL), F.floor((F.col(s) + 1 + 1e-9) / CELL)
+            out.append((f"__c{k}", F.explode(F.array_distinct(F.array(lo, hi))) if reach else F.floor(F.col(s) / CELL)))
         return out
 
-    def _neighbours(self, centres: DataFrame | None = None) -> DataFrame:
-        """(a_*, a_density, b_*, b_density, b_held): for every point a the points b near it but itself; b out of ``centres`` if given."""
-        b, few = (self.points, False) if centres is None else (centres, True)
-        b = b.select(*[F.col(m).alias(f"b_{m}") for m in self.measures], F.col("density").alias("b_density"), F.col("held").alias("b_held"), *[c.alias(k) for k, c in self._blocks(False)])
-        a = self.points
+    def _neighbours(self, points: DataFrame | None = None, centres: DataFrame | None = None) -> DataFrame:
+        """(a_*, b_*): for every point a of ``points`` the points b near it but itself, b out of ``centres`` if given; all columns of both."""
+        a, b = self.points if points is None else points, self.points if centres is None else centres
+        cells = [k for k, _ in self._blocks(False)]
+        b = b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns], *[c.alias(k) for k, c in self._blocks(False)])
+        names = a.columns
         for k, c in self._blocks(True):  # one generator at a time
             a = a.withColumn(k, c)
-        a = a.select(*[F.col(m).alias(f"a_{m}") for m in self.measures], F.col("density").alias("a_density"), *[k for k, _ in self._blocks(False)])
+        a = a.select(*[F.col(c).alias(f"a_{c}") for c in names], *cells)
         close = reduce(lambda x, m: x & near(F.col(f"a_{m}"), F.col(f"b_{m}"), self.step, self.percent), self.measures, F.lit(True))
         other = reduce(lambda x, m: x | (F.col(f"a_{m}") != F.col(f"b_{m}")), self.measures, F.lit(False))
-        cells = [k for k, _ in self._blocks(False)]
-        return a.join(F.broadcast(b) if few else b, cells).where(close & other).drop(*cells)
+        return a.join(b if centres is None else F.broadcast(b), cells).where(close & other).drop(*cells)
+
+    def _gap(self, a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
+        """Distance on the bent scale, rounded so that equal ones tie."""
+        return F.round(F.sqrt(reduce(lambda x, y: x + y, [F.pow(a(s) - b(s), F.lit(2)) for s in self.bends])), 9)
 
-    def _gap(self, a: str, b: str) -> Column:
-        """Distance on the bent scale of the measures with prefixes ``a`` and ``b``, rounded so that equal ones tie."""
-        bend = lambda m: scale(F.col(m), self.step, self.percent)
-        return F.round(F.sqrt(reduce(lambda x, y: x + y, [F.pow(bend(a + m) - bend(b + m), F.lit(2)) for m in self.measures])), 9)
+    def _denser(self) -> Column:
+        a, b = (F.struct(*[F.col(f"{side}_{m}").alias(m) for m in self.measures]) for side in "ab")
+        return (F.col("b_density") > F.col("a_density")) | ((F.col("b_density") == F.col("a_density")) & (b < a))
 
     def shape(self) -> DataFrame:
         """Points with density, mass (records that hold them or a neighbour), top (largest density near), gap and ``up``, the nearest denser neighbour; null if there is none."""
         if self._shape is None:
-            a, b = F.struct(*[F.col(f"a_{m}") for m in self.measures]), F.struct(*[F.col(f"b_{m}").alias(m) for m in self.measures])
-            denser = (F.col("b_density") > F.col("a_density")) | ((F.col("b_density") == F.col("a_density")) & (b < a))
-            way = F.when(denser, F.struct(self._gap("a_", "b_").alias("gap"), (-F.col("b_density")).alias("d"), b.alias("at")))
-            around = self._neighbours().groupBy(*[F.col(f"a_{m}").alias(m) for m in self.measures]).agg(F.sum("b_held").alias("others"), F.max("b_density").alias("top"), F.min(way).alias("up"))
-            got = self.points.join(around, self.measures, "left")
-            self._shape = cut(got.select(*self.measures, "held", "density", (F.col("held") + F.coalesce("others", F.lit(0))).alias("mass"), "top", F.col("up.at").alias("up"), F.col("up.gap").alias("gap")))
+            me, gap = [F.col(f"a_{m}").alias(m) for m in self.measures], self._gap(lambda s: F.col(f"a_{s}"), lambda s: F.col(f"b_{s}"))
+            around = self._neighbours().groupBy(*me).agg(F.sum("b_held").alias("others"), F.max("b_density").alias("top"), F.min(F.when(self._denser(), gap)).alias("gap"))
+            got = cut(self.points.join(around, self.measures, "left").withColumn("mass", F.col("held") + F.coalesce("others", F.lit(0))).drop("others"))
+            at = F.struct((-F.col("b_density")).alias("d"), F.struct(*[F.col(f"b_{m}").alias(m) for m in self.measures]).alias("at"))
+            up = self._neighbours(got.where("gap is not null")).where(self._denser() & (gap == F.col("a_gap"))).groupBy(*me).agg(F.min(at).alias("up"))
+            self._shape = cut(got.join(up, self.measures, "left").withColumn("up", F.col("up.at")))
         return self._shape
 
     def peaks(self) -> DataFrame:
@@ -104,8 +110,8 @@ class DensityPeaks:
         if self._peaks is None:
             part, whole = self.share
             held = (F.col("mass") * whole >= F.lit(self.total) * part) & F.col("gap").isNull() & F.coalesce(F.col("density") > F.col("top"), F.lit(True))
-            self._peaks = cut(self.shape().where(held).select(*self.measures, "held", "density", "mass"))
-        return self._peaks.drop("held")
+            self._peaks = cut(self.shape().where(held).select(*self.measures, "held", "density", "mass", *self.bends))
+        return self._peaks.select(*self.measures, "density", "mass")
 
     def pointers(self) -> DataFrame:
         """(point, up): every point with the one it points to, peaks and centres with themselves.
@@ -116,14 +122,13 @@ class DensityPeaks:
         me = F.struct(*self.measures)
         self.peaks()
         chosen = self._peaks.select(me.alias("point")).withColumn("peak", F.lit(True))
-        now = self.shape().select(me.alias("point"), "up", *self.measures).join(F.broadcast(chosen), "point", "left")
+        now = self.shape().select(me.alias("point"), "up", *self.bends).join(F.broadcast(chosen), "point", "left")
         goes = now.where("peak or up is not null").select("point", F.when(F.col("peak"), F.col("point")).otherwise(F.col("up")).alias("up"))
-        tops = now.where("peak is null and up is null").select("point", *self.measures)
+        tops = now.where("peak is null and up is null").select("point", *self.bends)
         # one row that holds all peaks: a top looks through a list of bounded length
-        listed = self._peaks.agg(F.collect_list(F.struct((-F.col("density")).alias("d"), F.struct(*self.measures).alias("peak"))).alias("peaks"))
-        bend = lambda c: scale(c, self.step, self.percent)
-        gap = lambda p: F.round(F.sqrt(reduce(lambda x, y: x + y, [F.pow(bend(F.col(m)) - bend(p[m]), F.lit(2)) for m in self.measures])), 9)
-        nearest = F.array_min(F.transform("peaks", lambda p: F.struct(gap(p["peak"]).alias("gap"), p["d"].alias("d"), p["peak"].alias("peak"))))
+        listed = self._peaks.agg(F.collect_list(F.struct((-F.col("density")).alias("d"), F.struct(*self.measures).alias("peak"), *self.bends)).alias("peaks"))
+        gap = lambda p: self._gap(F.col, lambda s: p[s])
+        nearest = F.array_min(F.transform("peaks", lambda p: F.struct(gap(p).alias("gap"), p["d"].alias("d"), p["peak"].alias("peak"))))
         return goes.unionByName(tops.crossJoin(F.broadcast(listed)).select("point", F.coalesce(nearest["peak"], "point").alias("up")))
 
     def labels(self) -> DataFrame:
@@ -159,6 +164,6 @@ class DensityPeaks:
         self.peaks()
         is_peak = self._peaks.select(*[F.col(m).alias(f"b_{m}") for m in self.measures])
         label = own.where(close).join(F.broadcast(is_peak), [f"b_{m}" for m in self.measures], "left_semi").select(*own.columns)
-        more = self._neighbours(self._peaks).select(*own.columns).join(own, own.columns, "left_anti")
+        more = self._neighbours(centres=self._peaks).select(*own.columns).join(own, own.columns, "left_anti")
         pairs = label.unionByName(more).select(*[F.col(f"a_{m}").alias(m) for m in self.measures], *[f"b_{m}" for m in self.measures])
         return self.records.join(pairs, self.measures).select(*self.ids, *[F.col(f"b_{m}").alias(m) for m in self.measures])
