@@ -282,8 +282,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("p5_shares")
 def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each language's share of the characters of a file's comments."""
+    """Each language's share of the characters of a file's comments; a span is never longer than its text, so shares add up to 1 at most."""
     c = _code(spark, sf_dir, "comments")
     spans = hidden_text(c, ["file", "line"]).groupBy("file", "nl_lang").agg(F.sum("span").alias("span"))
     total = c.where("text is not null").select("file", "line", "text").distinct().groupBy("file").agg(F.sum(F.length("text")).alias("chars"))
-    return spans.join(total, "file").select("file", "nl_lang", "span", "chars", F.least(F.lit(1.0), F.col("span") / F.col("chars")).alias("share"))
+    return spans.join(total, "file").select("file", "nl_lang", "span", "chars", (F.col("span") / F.col("chars")).alias("share"))

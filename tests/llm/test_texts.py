@@ -7,7 +7,7 @@ import pytest
 
 from conftest import rows
 from sylvan.llm.docpairs import bare, content, paired_functions, parent_types, parse_doc
-from sylvan.llm.hidden_language import STATES, fit, hidden_text, repair, running_text, sequences, spans, unescape
+from sylvan.llm.hidden_language import COST_BOUNDS, LANGS, STATES, Model, fit, hidden_text, labelled_lines, observed, pieces, plain_lines, repair, running_text, sample_of, spans, unescape, viterbi
 from sylvan.llm.leaks import leaked_items
 from sylvan.llm.packing import TOKENIZER, Capacity, best_fit, pack, token_counts
 from sylvan.llm.queries import QUERIES
@@ -382,8 +382,56 @@ def test_repair_and_escapes():
     assert repair("fÃ¼r Ã\xa0 naïve été") == "für à naïve été"
     assert repair("Ð¡Ð¾Ñ€Ñ‚") == "Сорт"
     assert unescape(r"aé\x41\n&eacute;&#233; \U0001F600") == "aéA éé 😀"
-    assert [code for _, code in sequences("// a_b foo() x\n# plain words")] == [True, False]
-    assert STATES[0] == "code"
+    assert [code for _, code in labelled_lines("// a_b foo() x\n# plain words")] == [True, False]
+    assert plain_lines("/**\r\n * One\r\n */") == "\nOne\n" and plain_lines("x = 1  // why") == "x = 1 \nwhy"
+    assert observed("Uses `a b` and fooBar, f(x) at a/b.c İ") == "uses \x01 and \x01, \x02x) at \x01 i"
+    assert STATES == ("code", *LANGS, "other")
+
+
+def test_code_full_of_words(table):
+    """Held-out lines of queries and code whose words are those of prose."""
+    lines = [
+        "-- insert into table values select distinct city from people", "# select name from users left join orders", "// select id, name from users where id in (select id from t) order by name desc",
+        "-- update users set name = null where id is not null", "// export default function render(props)", "# from os import path as join_path", "// if value is not none and key in names: continue", "# while true: break", "-- create table people (name text not null, city text)",
+    ]
+    assert found(lines, table) == [set()] * len(lines)
+    assert found(["// Повертає кількість рядків, що були записані до файлу, якщо сталася помилка"], table) == [set()]  # none of the nine
+
+
+def test_a_comment_is_one_sequence(table):
+    s, g = SENTENCES["en"], SENTENCES["fr"]
+    text = f"/*\n * {s[0]}\n * x := y.Run(ctx)\n * {g[0]},\n * {s[1]}. */"
+    (got,) = spans([text], table)
+    assert {k: v[0] for k, v in got.items()} == {"en": sum(len(re.findall(r"\w+", x)) for x in s), "fr": len(re.findall(r"\w+", g[0]))}
+
+
+def test_costs_are_fitted_within_their_bounds(table):
+    assert isinstance(table, Model) and all(lo <= c <= hi for c, (lo, hi) in zip(table.cost, COST_BOUNDS))
+    assert np.isfinite(table.table).all() and (table.table[-1] == 0).all()
+
+
+def test_viterbi_equals_brute_force():
+    from itertools import product
+
+    rng = np.random.default_rng(5)
+    table = np.vstack([rng.normal(size=(9, 3)), np.zeros(3)]).astype(np.float32)
+    codes, cost = rng.integers(0, 9, (6, 6)), rng.uniform(0, 2, (6, 6)).astype(np.float32)
+    codes[5, 4:] = 9
+    path = viterbi(codes, cost, table)
+    for r in range(6):
+        worth = lambda p: sum(table[codes[r, t], p[t]] - (cost[r, t] if t and p[t] != p[t - 1] else 0) for t in range(6))
+        assert abs(worth(path[r]) - max(map(worth, product(range(3), repeat=6)))) < 1e-4
+
+
+def test_pieces():
+    text = "ab cd\n" * 700 + "x" * 5000
+    got = pieces(text)
+    assert "".join(got) == text and max(map(len, got)) <= 2000 and got[0].endswith("cd")
+
+
+def test_spans_are_no_longer_than_their_texts(table):
+    texts_ = [f"// {s} &eacute;\\u00e9 `a_b` İİİ" for v in SENTENCES.values() for s in v]
+    assert all(sum(v[2] for v in g.values()) <= len(t) for t, g in zip(texts_, spans(texts_, table)))
 
 
 def test_very_long_text(table):
@@ -392,6 +440,14 @@ def test_very_long_text(table):
     assert g["en"][0] >= 12 * 3000
 
 
+def test_sample_is_bounded(spark):
+    """Equal texts come once, very long ones not at all, and what comes does not grow with the rows."""
+    df = spark.range(30_000).selectExpr("if(id % 3 = 0, 'the same text', concat('text ', id)) AS t").unionAll(spark.createDataFrame([("x" * 100_000,), (None,)], "t string"))
+    got = sample_of(df, "t", 300, 1_000_000)
+    assert 150 < len(got) < 400 and got == sorted(set(got)) and max(map(len, got)) < 20
+    assert 30 < len(sample_of(df, "t", 20_000, 1000)) < 150 and sample_of(df.limit(0), "t") == []
+
+
 def test_hidden_table(spark):
     data = [("f", n, f"// {s}.", n) for n, (k, v) in enumerate(SENTENCES.items()) for s in v] * 2 + [("f", 90, None, 1), ("f", 91, " ", 1), (None, 92, f"// {SENTENCES['en'][0]}", 1)]
     df = spark.createDataFrame(data, "file string, line long, text string, words long")
