@@ -443,7 +443,7 @@ def sample_of(texts: DataFrame, text: str, rows: int = SAMPLE, chars: int = SAMP
     if not n:
         return []
     share = min(1.0, rows / n, chars / max(1, total or 0))
-    low = F.shiftrightunsigned(F.xxhash64(text), 1) <= F.lit(int(share * (2**63 - 1)))
+    low = F.shiftrightunsigned(F.xxhash64(text), 1) <= F.lit(min(int(share * 2.0**63), 2**63 - 1))
     return sorted(r[0] for r in texts.where(low & (size <= chars // 100)).select(text).distinct().collect())
 
 

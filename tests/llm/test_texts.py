@@ -445,7 +445,7 @@ def test_sample_is_bounded(spark):
     df = spark.range(30_000).selectExpr("if(id % 3 = 0, 'the same text', concat('text ', id)) AS t").unionAll(spark.createDataFrame([("x" * 100_000,), (None,)], "t string"))
     got = sample_of(df, "t", 300, 1_000_000)
     assert 150 < len(got) < 400 and got == sorted(set(got)) and max(map(len, got)) < 20
-    assert 30 < len(sample_of(df, "t", 20_000, 1000)) < 150 and sample_of(df.limit(0), "t") == []
+    assert 30 < len(sample_of(df, "t", 20_000, 1000)) < 150 and sample_of(df.limit(0), "t") == [] and len(sample_of(df, "t", 40_000, 10**9)) == 20_002
 
 
 def test_hidden_table(spark):
