@@ -60,15 +60,31 @@ class ItemIndex:
         self.ids = np.array([i for i, _ in items], np.int64)
         self.words = np.array(flat, np.uint64)
         place, sketch = self._windows(self.words)
-        order = np.argsort(sketch, kind="stable")
-        self.place, self.sketch = place[order], sketch[order]
-        self.owner = (np.searchsorted(starts, self.place, "right") - 1).astype(np.int64)  # number of the item a window lies in
-        windows = np.lib.stride_tricks.sliding_window_view(self.words, passage)[self.place] if len(self.place) else np.empty((0, passage), np.uint64)
-        _, self.number = np.unique(np.ascontiguousarray(windows).view(f"V{8 * passage}").ravel(), return_inverse=True)  # equal passages have one number
-        self.held = np.bincount(np.unique(np.stack([self.owner, self.number], 1), axis=0)[:, 0], minlength=len(items))
-        sketches = np.bincount(np.unique(np.stack([self.owner.view(np.uint64), self.sketch], 1), axis=0)[:, 0].astype(np.int64), minlength=len(items))
+        owner = (np.searchsorted(starts, place, "right") - 1).astype(np.int64)
+        windows = np.lib.stride_tricks.sliding_window_view(self.words, passage)[place] if len(place) else np.empty((0, passage), np.uint64)
+        _, first, number = np.unique(np.ascontiguousarray(windows).view(f"V{8 * passage}").ravel(), return_index=True, return_inverse=True)  # equal passages have one number
+        self.salt = 0
+        while True:  # until no two passages share a hash
+            h = self._hash(self.words)[place[first]]
+            order = np.argsort(h)
+            self.hashes = h[order]
+            if not (self.hashes[1:] == self.hashes[:-1]).any():
+                break
+            self.salt += 1
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        number = rank[number]  # passages are numbered by their hash
+        self.at = place[first][order]  # a place of every passage
+        self.sketches, sketch = np.unique(sketch, return_inverse=True)
+        self.by_sketch, self.by_passage = _Lists(sketch, owner, len(self.sketches), len(items)), _Lists(number, owner, len(self.hashes), len(items))
+        self.held = np.bincount(self.by_passage.items, minlength=len(items))
+        sketches = np.bincount(self.by_sketch.items, minlength=len(items))
         self.least = np.array([class_threshold(size_class(int(n))) * n if n else 1 for n in sketches])  # sketches a candidate must hold
 
+    def _hash(self, a: np.ndarray) -> np.ndarray:
+        """Hashes of all windows of numbers."""
+        return shingle_hashes(np.where(a == 0, a, a + np.uint64(self.salt << 40)), self.passage)
+
     def _windows(self, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of the windows without an unknown word, and their sketches."""
         if len(a) < self.passage:
@@ -90,28 +106,53 @@ class ItemIndex:
                 starts.append(at)
                 at += len(a)
         none = np.empty(0, np.int64)
-        if not parts or not len(self.sketch):
+        if not parts or not len(self.sketches):
             return none, none, none
         a = np.concatenate(parts)
         place, sketch = self._windows(a)
-        lo, hi = np.searchsorted(self.sketch, sketch, "left"), np.searchsorted(self.sketch, sketch, "right")
-        hit = np.flatnonzero(hi > lo)
-        if not len(hit):
+        place, sketch = _found(place, sketch, self.sketches)
+        if not len(place):
             return none, none, none
-        n = (hi - lo)[hit]
-        entry = np.repeat(lo[hit] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        doc = np.repeat(np.array(owner)[np.searchsorted(starts, place[hit], "right") - 1], n)
-        item, at = self.owner[entry], np.repeat(place[hit], n)
+        doc = np.array(owner)[np.searchsorted(starts, place, "right") - 1]
         # candidates: distinct sketches held, against the threshold of the item's size class
-        pair = doc * len(self.ids) + item
-        met = np.unique(np.stack([pair.view(np.uint64), self.sketch[entry]], 1), axis=0)[:, 0].astype(np.int64)
-        known, count = np.unique(met, return_counts=True)
-        good = known[count >= self.least[known % len(self.ids)] - 1e-9]
-        ok = np.isin(pair, good)
-        for k in range(p):  # the exact check, word by word
-            ok[ok] = a[at[ok] + k] == self.words[self.place[entry[ok]] + k]
-        found = np.unique(np.stack([doc[ok], item[ok], self.number[entry[ok]]], 1), axis=0)
-        return found[:, 0], found[:, 1], found[:, 2]
+        d, item = self.by_sketch.expand(doc, sketch)
+        pair, count = np.unique(d * len(self.ids) + item, return_counts=True)
+        good = pair[count >= self.least[pair % len(self.ids)] - 1e-9]
+        # the exact check: the passage of the window, word by word
+        at, number = _found(place, self._hash(a)[place], self.hashes)
+        doc = np.array(owner)[np.searchsorted(starts, at, "right") - 1]
+        same = np.ones(len(at), bool)
+        for k in range(p):
+            same &= a[at + k] == self.words[self.at[number] + k]
+        d, item, number = self.by_passage.expand(doc[same], number[same], True)
+        keep = np.isin(d * len(self.ids) + item, good)
+        return d[keep], item[keep], number[keep]
+
+
+class _Lists:
+    """For every key the different items that hold it."""
+
+    def __init__(self, key: np.ndarray, item: np.ndarray, keys: int, items: int):
+        both = np.unique(key * max(1, items) + item)
+        self.items, key = both % max(1, items), both // max(1, items)
+        self.start, self.keys = np.searchsorted(key, np.arange(keys + 1)), keys
+
+    def expand(self, doc: np.ndarray, key: np.ndarray, keys: bool = False) -> tuple[np.ndarray, ...]:
+        """(doc, item), or (doc, item, key), of every different pair of a document and a key."""
+        both = np.unique(doc * max(1, self.keys) + key)
+        doc, key = both // max(1, self.keys), both % max(1, self.keys)
+        lo = self.start[key]
+        n = self.start[key + 1] - lo
+        entry = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        out = (np.repeat(doc, n), self.items[entry])
+        return (*out, np.repeat(key, n)) if keys else out
+
+
+def _found(place: np.ndarray, value: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places whose value is among the sorted ``known`` ones, and its number there."""
+    number = np.searchsorted(known, value)
+    hit = known[np.minimum(number, len(known) - 1)] == value
+    return place[hit], number[hit]
 
 
 def _hashes(words: list[str], seen: dict[str, int]) -> np.ndarray:
