@@ -18,8 +18,9 @@ from .operators.attach import attach_comments, attach_following
 from .operators.packed import explode_packed
 from .operators.similarity import FEATURES, cosine, jaccard, min_max_scaled, top_similar
 from .plans import parse_query, plan_text
-from .runtime import cut, table
+from .runtime import store, table
 from .sinks import csv_lines, json_lines, rows_of, table_lines
+from .sources.made import ROWS, made_sources, made_sql
 from .sources.trees import extract_texts, language_column, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -251,10 +252,11 @@ def _sum(a: str, b: str) -> str:
     return " + ".join(f"{a}.{c} * {b}.{c}" for c in FEATURES)
 
 
-@query("top_similar", f"""
-WITH s AS MATERIALIZED ({_scaled_sql(_PRINTS)}),
+def _top_similar_sql(prints: str, sets: str) -> str:
+    return f"""
+WITH s AS MATERIALIZED ({_scaled_sql(prints)}),
 v AS MATERIALIZED (SELECT file, line, name, {', '.join(FEATURES)}, sqrt({_sum('s', 's')}) AS norm FROM s),
-t AS (SELECT DISTINCT file, line, name, callee FROM {code_sql('fn_callsets')} WHERE name IS NOT NULL AND callee <> ''),
+t AS (SELECT DISTINCT file, line, name, callee FROM {sets} WHERE name IS NOT NULL AND callee <> ''),
 n AS (SELECT file, line, name, count(*) AS n FROM t GROUP BY ALL),
 w AS MATERIALIZED (SELECT v.*, coalesce(n.n, 0) AS n, row_number() OVER (ORDER BY v.file, v.line, v.name) AS id FROM v LEFT JOIN n USING (file, line, name)),
 u AS (SELECT w.id, t.callee FROM t JOIN w USING (file, line, name)),
@@ -263,7 +265,10 @@ p AS (SELECT a.id AS ia, b.id AS ib, CASE WHEN a.norm * b.norm = 0 THEN 0 ELSE (
     CASE WHEN a.n + b.n = 0 THEN 1 ELSE coalesce(o.o, 0) / (a.n + b.n - coalesce(o.o, 0)) END AS jac FROM w a JOIN w b ON a.id <> b.id LEFT JOIN o ON o.a = a.id AND o.b = b.id),
 r AS (SELECT ia, ib, cos, jac, 0.6::DOUBLE * cos + 0.4::DOUBLE * jac AS score FROM p WHERE 0.6::DOUBLE * cos + 0.4::DOUBLE * jac >= 0.6::DOUBLE QUALIFY row_number() OVER (PARTITION BY ia ORDER BY 0.6::DOUBLE * cos + 0.4::DOUBLE * jac DESC, ib) <= 10)
 SELECT a.file AS file_a, a.line AS line_a, a.name AS name_a, b.file AS file_b, b.line AS line_b, b.name AS name_b, round(cos, 9) AS structural_score, round(jac, 9) AS behavioral_score, round(score, 9) AS combined_score
-FROM r JOIN w a ON a.id = r.ia JOIN w b ON b.id = r.ib""")
+FROM r JOIN w a ON a.id = r.ia JOIN w b ON b.id = r.ib"""
+
+
+@query("top_similar", _top_similar_sql(_PRINTS, code_sql("fn_callsets")))
 def similar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten most similar functions of every function."""
     calls = code(spark, sf_dir, "fn_callsets").where("name is not null and callee <> ''")
@@ -307,20 +312,60 @@ def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _extracted(name: str) -> Query:
     """One table extracted from the source files among the documents, whole table and whole texts."""
-    return lambda spark, sf_dir: tables(extract_texts(table(spark, sf_dir, "documents")))[name]
+    return lambda spark, sf_dir: tables(extract_texts(table(spark, sf_dir, "documents"), wanted=[name]))[name]
 
 
-for _t in ("functions", "calls", "imports", "structs", "variables", "comments", "fn_fingerprints"):
+for _t in ("functions", "calls", "imports", "variables", "comments", "fn_fingerprints"):
     query(f"extract_{_t}")(_extracted(_t))
 
 
 @query("engine_over_texts")
 def engine_over_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A dialect query over tables extracted from the documents: complex functions without a test."""
-    wide = cut(extract_texts(table(spark, sf_dir, "documents")))  # once, for the three tables the query needs
+    wide = store(extract_texts(table(spark, sf_dir, "documents"), wanted=["functions", "structs", "comments"]))  # once, for the three tables the query needs
     return Engine(spark, second_pass(tables(wide))).sql("SELECT f.file, f.line, f.name, f.complexity, c.text FROM functions AS f JOIN comments AS c ON f.file = c.file AND f.name = c.attached_to WHERE f.complexity > 3 AND f.has_test = false AND c.is_doc = true")
 
 
+_PARTS = "SELECT p_partkey AS k, p_size AS s, p_size % 4 AS n FROM part"
+
+
+def _made(name: str) -> Query:
+    """One table extracted from source files made from every part, in four languages."""
+    return lambda spark, sf_dir: tables(extract_texts(made_sources(table(spark, sf_dir, "part"), "p_partkey", "p_size", F.col("p_size") % 4), wanted=[name]))[name]
+
+
+for _t in ROWS:
+    query(f"source_{_t}", made_sql(_t, _PARTS))(_made(_t))
+
+_NATIONS = "SELECT n_nationkey AS k, n_regionkey AS s, n_nationkey % 5 AS n FROM nation"
+_MADE_SETS = f"""SELECT DISTINCT c.file, f.line, c.caller AS name, c.callee FROM ({made_sql('calls', _NATIONS)}) c
+JOIN (SELECT file, name, min(line) AS line FROM ({made_sql('functions', _NATIONS)}) GROUP BY ALL) f ON c.file = f.file AND c.caller = f.name"""
+_MADE_PRINTS = f"""(SELECT p.* REPLACE (coalesce(u.n, p.unique_callee_count) AS unique_callee_count, p.has_error_handling::INT AS has_error_handling) FROM ({made_sql('fn_fingerprints', _NATIONS)}) p
+LEFT JOIN (SELECT file, name, count(*) AS n FROM ({_MADE_SETS}) GROUP BY ALL) u USING (file, name))"""
+
+
+def _made_engine(spark: SparkSession, sf_dir: str) -> Engine:
+    """An engine over the source files made from every nation, with all tables of the second pass."""
+    texts = made_sources(table(spark, sf_dir, "nation"), "n_nationkey", "n_regionkey", F.col("n_nationkey") % 5)
+    return Engine(spark, second_pass(tables(store(extract_texts(texts)))))
+
+
+@query("source_similar", _top_similar_sql(_MADE_PRINTS, f"({_MADE_SETS})"))
+def source_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The similarities of extracted functions, as the engine computes them over the second pass."""
+    got = _made_engine(spark, sf_dir).table("similarities")
+    return got.withColumns({c: F.round(c, 9) for c in got.columns if c.endswith("_score")})
+
+
+@query("source_described", f"""
+WITH f AS ({made_sql('functions', _NATIONS)}), s AS ({made_sql('structs', _NATIONS)}), c AS ({made_sql('comments', _NATIONS)}),
+d AS (SELECT file, line, min({{'k': k, 'n': name}}).n AS name FROM (SELECT file, line, 0 AS k, name FROM f UNION ALL SELECT file, line, 1, name FROM s) GROUP BY ALL)
+SELECT s.file, s.name, s.implements, a.text FROM s JOIN (SELECT c.file, c.text, c.is_doc, d.name FROM c ASOF LEFT JOIN d ON c.file = d.file AND c.line < d.line) a ON s.file = a.file AND s.name = a.name WHERE a.is_doc AND s.field_count > 3""")
+def source_described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dialect query over extracted and attached rows: documented types with more than three fields."""
+    return _made_engine(spark, sf_dir).sql("SELECT s.file, s.name, s.implements, c.text FROM structs AS s JOIN comments AS c ON s.file = c.file AND s.name = c.attached_to WHERE c.is_doc = true AND s.field_count > 3")
+
+
 def _lines(make) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = engine(spark, sf_dir).sql("SELECT n_name AS name, n_nationkey AS key FROM nation ORDER BY n_nationkey")

@@ -1,7 +1,7 @@
 """Rows of one file, and the one wide row that all tables share on their way out of a task."""
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,9 +44,11 @@ class Rows:
         self.tables[table].append(row := list(values))
         return row
 
-    def wide(self) -> Iterator[tuple]:
-        """All rows as tuples in the order of WIDE."""
+    def wide(self, wanted: Collection[str] = EXTRACTED) -> Iterator[tuple]:
+        """Rows of the wanted tables as tuples in the order of WIDE."""
         for table, rows in self.tables.items():
+            if table not in wanted:
+                continue
             places = PLACES[table]
             for r in rows:
                 row: list[object] = [None] * _WIDTH

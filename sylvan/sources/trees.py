@@ -1,7 +1,7 @@
 """Extraction as one parallel stage: files, or rows that hold source text, to the extracted tables."""
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from itertools import islice
 
 import pandas as pd
@@ -75,11 +75,12 @@ def extract_files(files: DataFrame, on_error: str = "fail") -> DataFrame:
     return src.mapInArrow(run, WIDE)
 
 
-def extract_texts(df: DataFrame, file: str = "file", text: str = "text", language: str | None = None) -> DataFrame:
+def extract_texts(df: DataFrame, file: str = "file", text: str = "text", language: str | None = None, wanted: Collection[str] = EXTRACTED) -> DataFrame:
     """Wide rows of a table that holds whole source files as text; the language by the path, or from a column.
 
-    Rows with a null file or text, or of no supported language, give nothing.
+    Rows with a null file or text, or of no supported language, give nothing. Only rows of the ``wanted`` tables leave a task.
     """
+    wanted = frozenset(wanted)
     ensure_importable(df.sparkSession)
     lang = language_column(file) if language is None else F.lower(language)
     src = df.select(F.col(file).alias("file"), F.col(text).alias("text"), lang.alias("lang")).where(F.col("lang").isin(*set(LANGUAGES.values())) & F.col("file").isNotNull() & F.col("text").isNotNull())
@@ -87,7 +88,7 @@ def extract_texts(df: DataFrame, file: str = "file", text: str = "text", languag
     src = spread(src)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _batches(r for b in batches for f, t, x in zip(*(b.column(c).to_pylist() for c in ("file", "text", "lang")), strict=True) for r in extract(x, f, t).wide())
+        return _batches(r for b in batches for f, t, x in zip(*(b.column(c).to_pylist() for c in ("file", "text", "lang")), strict=True) for r in extract(x, f, t).wide(wanted))
 
     return src.mapInArrow(run, WIDE)
 
