@@ -11,6 +11,7 @@ from sylvan.schema import SCHEMAS, function_columns
 from sylvan.sinks import csv_lines, json_lines, plain, table_lines
 from sylvan.sources.cache import RowCache
 from sylvan.sources.extract import extract
+from sylvan.sources.made import TEXTS, made_sql
 from sylvan.sources.walk import detect_languages, snapshot, source_files, supported_languages, walk
 from sylvan.streaming.watch import watch
 
@@ -29,9 +30,10 @@ def test_ignore_rules(tmp_path):
     assert [f.file for f in walk(root)] == ["deep/a/keep.py", "keep/x.log.py", "src/lib.rs"]
 
 
-def test_many_folders(tmp_path):
-    put(tmp_path, {f"d{n}/f.py": "" for n in range(1100)})
-    assert len(source_files(tmp_path)) == 1100
+def test_every_folder_is_walked(tmp_path):
+    put(tmp_path, {f"{a}/{b}/{c}.go": "" for a in range(6) for b in range(14) for c in "xyz"} | {"/".join("deep" * 9) + "/end.rs": ""})
+    found = [f.file for f in source_files(tmp_path)]
+    assert len(found) == 6 * 14 * 3 + 1 and found == sorted(found)
 
 
 def test_languages(tmp_path, capsys):
@@ -52,61 +54,68 @@ def test_snapshot(tmp_path):
     assert snapshot(tmp_path) != one
 
 
-GO = "package main\n\nimport (\n\t\"fmt\"\n\tx \"github.com/a/b\"\n)\n\n// Adds two.\nfunc add(a int, b int) int {\n\treturn a + b\n}\n\nfunc (u *User) Run(a, b int, xs ...int) (int, error) {\n\tfor i, v := range xs {\n\t\tif v > 1 {\n\t\t\tfmt.Println(i)\n\t\t}\n\t}\n\tn := 1\n\treturn n, nil\n}\n\ntype User struct {\n\tA, B int\n\tC string\n}\n\ntype Alias int\nvar top map[string]int\n"
+def made(end, k=7, s=5, n=2):
+    """One of the files that the source queries read, and the rows it must give by their SQL."""
+    parts = TEXTS[end].replace(">>", "<<").split("<<")
+    return "".join(x * n if i % 2 else x for i, x in enumerate(parts)).replace("$k", str(k)).replace("$s", str(s))
 
 
-def test_go():
-    t = extract("go", "m.go", GO).tables
-    assert t["functions"] == [[9, "add", "private", 2, "int", 1, False], [13, "Run", "public", 1, "(int, error)", 4, False]]
-    assert t["calls"] == [[16, "Run", "fmt.Println", True]]
-    assert t["imports"] == [[4, "fmt", "", True], [5, "github.com/a/b", "x", False]]
-    assert t["structs"] == [[23, "User", 2, "public", ""]]
-    assert t["variables"] == [[19, "n", "", "function", True], [29, "top", "map[string]int", "package", False]]
-    assert t["comments"] == [[8, "// Adds two.", "", True]]
-    assert t["fn_fingerprints"][1] == [13, "Run", 1, 4, 1, 1, 1, 1, 0, 1, 5, False]
+@pytest.mark.parametrize("end, language", [("go", "go"), ("rs", "rust"), ("ts", "typescript"), ("py", "python")])
+@pytest.mark.parametrize("n", [0, 1, 5])
+def test_made_files(end, language, n):
+    duckdb = pytest.importorskip("duckdb")
+    got = extract(language, "f", made(end, n=n)).tables
+    for t, rows_ in got.items():
+        want = [r[1:] for r in duckdb.sql(made_sql(t, f"SELECT 7 AS k, 5 AS s, {n} AS n")).fetchall() if r[0].endswith("." + end)]
+        assert sorted(map(tuple, rows_), key=str) == sorted(want, key=str), t
 
 
-RUST = "use std::fmt as fmt_alias;\npub use crate::x;\n\n/// User doc\npub struct User {\n    id: i32,\n    name: String,\n}\n\nimpl Greeter for User {}\nimpl a::Show<T> for &User {}\nimpl Lost for Later {}\nstruct Later;\n\nconst LIMIT: usize = 10;\n\nfn run() {\n    let mut total: i32 = 0;\n    helper();\n    std::mem::drop(total);\n    println!(\"{}\", hidden());\n}\n\npub(crate) fn complex(&self, n: i32) -> i32 {\n    if n > 0 {\n        return 1;\n    }\n    for i in 0..n {\n        if i % 2 == 0 {\n            return i;\n        }\n    }\n    0\n}\n"
+def test_go_rules():
+    t = extract("go", "g.go", "package orchard\n\nimport \"sort\"\n\n/* Pear is ripe. */\nfunc pick(rows ...int) bool {\n\tswitch rows[0] {\n\tcase 1:\n\t\treturn true\n\t}\n\tgo sort.Ints(rows)\n\tselect {}\n}\n\ntype Weight float64\n\ntype Crate struct {\n\tPears, Plums int\n}\n// tail\nconst max = 3\n").tables
+    assert t["functions"] == [[6, "pick", "private", 0, "bool", 3, False]]  # variadics are no parameters; go and select count
+    assert t["structs"] == [[17, "Crate", 1, "public", ""]] and t["variables"] == []
+    assert t["comments"] == [[5, "/* Pear is ripe. */", "", True], [20, "// tail", "", False]]
+    assert t["calls"] == [[11, "pick", "sort.Ints", True]] and t["imports"] == [[3, "sort", "", True]]
 
 
-def test_rust():
-    t = extract("rust", "m.rs", RUST).tables
-    assert t["imports"] == [[1, "std::fmt", "fmt_alias", True], [2, "pub use crate::x", "", False]]
-    assert t["structs"] == [[5, "User", 2, "public", "Greeter,Show"], [13, "Later", 0, "private", ""]]
-    assert t["variables"] == [[15, "LIMIT", "usize", "module", False], [18, "total", "i32", "function", True]]
-    assert t["calls"] == [[19, "run", "helper", False], [20, "run", "std::mem::drop", True]]
-    assert t["comments"] == [[4, "/// User doc", "", True]]
-    assert t["functions"] == [[17, "run", "private", 0, "", 1, False], [24, "complex", "private", 1, "i32", 4, False]]
-    assert t["fn_fingerprints"][1][2:] == [1, 4, 1, 2, 1, 0, 0, 2, 10, False]
+def test_rust_rules():
+    t = extract("rust", "r.rs", "use alloc::vec as list;\npub use self::tree::Leaf;\n\nimpl Prune for Hedge {}\nstruct Hedge;\nimpl<'a> Grow<Leaf> for &Hedge {}\n\npub(crate) fn trim(&mut self, by: f32) -> Option<f32> {\n    let (a, b) = self.sides();\n    match by { x if x > 1.0 => None, _ => Some(b) }\n}\n//! inner\nconst EDGE: f32 = 0.5;\n").tables
+    assert t["imports"] == [[1, "alloc::vec", "list", True], [2, "pub use self::tree::Leaf", "", False]]
+    assert t["structs"] == [[5, "Hedge", 0, "private", "Grow"]]  # an impl above its struct is lost
+    assert t["functions"] == [[8, "trim", "private", 1, "Option<f32>", 4, False]]
+    assert sorted(t["variables"]) == [[9, "(a, b)", "", "function", False], [13, "EDGE", "f32", "module", False]]
+    assert t["comments"] == [[12, "//! inner", "", True]]
 
 
-def test_rust_match_and_strings():
-    t = extract("rust", "m.rs", 'fn f(x: &\'a str) -> Result<u8, E> {\n  match x { "fn g() {" => a(), Some(_) | None => { b()?; } _ if x => {} }\n  let s = r#"if "quoted" {"#; /* a /* nested */ if */ s.len()\n}\n').tables
-    assert [r[1] for r in t["functions"]] == ["f"] and t["functions"][0][3:6] == [1, "Result<u8, E>", 5]
-    assert [r[2] for r in t["calls"]] == ["a", "b", "s.len"] and t["fn_fingerprints"][0][-1] is True
-    assert [r[1] for r in t["comments"]] == ["/* a /* nested */ if */"]
+def test_rust_strings_and_comments_hide_code():
+    t = extract("rust", "r.rs", 'fn sow(bed: &\'static str) -> u8 {\n  let t = r##"fn weed() { if "x"# }"##; /* while /* loop */ for */\n  match bed { "} else {" | "fn" => dig(), _ => { rake()?; } }\n}\n').tables
+    assert [r[1] for r in t["functions"]] == ["sow"] and t["functions"][0][3:6] == [1, "u8", 4]
+    assert [r[2] for r in t["calls"]] == ["dig", "rake"] and t["fn_fingerprints"][0][-1] is True
+    assert [r[1] for r in t["comments"]] == ["/* while /* loop */ for */"]
 
 
-TS = 'import { readFileSync as readFile } from "fs";\nimport x from \'path\';\n\nabstract class Person extends Base implements Greeter, Serializable {\n  name: string;\n  private age = 1;\n  protected greet(message: string, n?: number): string {\n    return message;\n  }\n}\n\n/** Doc */\nexport function add(a: number, b: number): number {\n  if (a && b) {\n    console.log(`x ${inner(a)} y`);\n  }\n  return a + b;\n}\n\nconst answer: number = 42;\nlet q = () => new Foo();\n'
+def test_typescript_rules():
+    t = extract("typescript", "t.ts", "import basket from 'basket';\nimport { weigh as scale } from \"node:util\";\n/*! kept */\nabstract class Stall extends Shop {\n  protected open(hour: number): boolean { return hour > 8 ? this.ring() : false; }\n  _close() {}\n  name!: string;\n}\nvar a: number = 1, b = (x) => scale(x);\nfunction sell(...all: string[]) { do { a++; } while (a || b); }\n").tables
+    assert t["imports"] == [[1, "'basket'", "", False], [2, "node:util", 'scale } from "node:util"', True]]
+    assert t["structs"] == [[4, "Stall", 3, "public", ""]]
+    assert [r[1:4] for r in t["functions"]] == [["open", "internal", 1], ["_close", "private", 0], ["sell", "public", 1]]
+    assert [(r[1], r[2], r[4]) for r in t["variables"]] == [("a", ": number", True), ("b", "", True)]
+    assert [r[1:] for r in t["calls"]] == [["open", "this.ring", True], ["", "scale", False]]
+    assert t["comments"] == [[3, "/*! kept */", "", True]]
 
 
-def test_typescript():
-    t = extract("typescript", "m.ts", TS).tables
-    assert t["functions"] == [[7, "greet", "internal", 2, "", 1, False], [13, "add", "public", 2, "number", 3, False]]
-    assert t["imports"] == [[1, "fs", 'readFile } from "fs"', True], [2, "'path'", "", False]]
-    assert t["structs"] == [[4, "Person", 3, "public", "Greeter,Serializable"]]
-    assert t["calls"] == [[15, "add", "console.log", True], [15, "add", "inner", False]]
-    assert t["variables"] == [[20, "answer", ": number", "function", False], [21, "q", "", "function", True]]
-    assert t["comments"] == [[12, "/** Doc */", "", True]]
-
-
-PY = "\nimport os\n\nclass User(BaseUser, Serializable):\ndef greet(self, message):\n    return message\n\ndef add(a, b):\nreturn a + b\n\nx = 1\n"
+def test_python_rules():
+    t = extract("python", "p.py", "import a.b, c as d\nfrom . import e\n#. doc\nclass Tree(Plant, metaclass=Meta):\n    height = 3\n    @property\n    def tall(self): return self.height > 3 or self.old()\n    def __init__(self, a: int, b: int = 1, **more): pass\nrows = [r for r in open(p) if r]\nasync def grow(*, by):\n    async with lock:\n        x = y = await water(by)\n").tables
+    assert t["imports"][0] == [1, "a.b, c as d", "d", False] and len(t["imports"]) == 2
+    assert t["structs"] == [[4, "Tree", 1, "public", "Plant,metaclass=Meta"]]  # a decorated method and an assignment are no direct children
+    assert [r[1:4] for r in t["functions"]] == [["tall", "public", 1], ["__init__", "private", 3], ["grow", "public", 1]]  # b has a type and a default
+    assert t["functions"][0][5] == 2 and [r[2] for r in t["calls"]] == ["self.old", "open", "water"]
+    assert t["comments"] == [[3, "#. doc", "", True]]
 
 
 def test_python_without_indents():
-    t = extract("python", "m.py", PY).tables
-    assert [r[1] for r in t["functions"]] == ["greet", "add"] and [r[1] for r in t["imports"]] == ["os"]
-    assert t["structs"][0][4] == "BaseUser,Serializable" and [r[1] for r in t["variables"]] == ["x"]
+    t = extract("python", "p.py", "class Row(Bed):\ndef dig(self):\n    pass\ndef fill(self):\nreturn 1\nseed = 2\n").tables
+    assert [r[1] for r in t["functions"]] == ["dig", "fill"] and t["structs"][0][4] == "Bed" and [r[1] for r in t["variables"]] == ["seed"]
 
 
 def test_python_matches_ast():
@@ -133,10 +142,10 @@ def test_broken_text_is_survived():
 
 
 def test_engine_from_path(spark, tmp_path):
-    put(tmp_path, {"p/m.py": "#: Doc\ndef add(a, b):\n    if a:\n        return log(a)\n    return b\n\ndef test_add():\n    add(1, 2)\n", "m.go": GO, "m.rs": RUST, "m.ts": TS, "n.txt": "x", "pkg/__init__.py": "x = 1\n"})
+    put(tmp_path, {"p/m.py": "#: Doc\ndef plant(a, b):\n    if a:\n        return log(a)\n    return b\n\ndef test_plant():\n    plant(1, 2)\n", "m.go": made("go"), "m.rs": made("rs"), "m.ts": made("ts"), "n.txt": "x", "pkg/__init__.py": "x = 1\n"})
     e = Engine.from_path(spark, tmp_path)
-    assert rows(e.sql("SELECT name, file, line FROM functions WHERE has_test = true")) == [("add", "p/m.py", 2)]
-    assert rows(e.sql("SELECT attached_to FROM comments WHERE file = 'p/m.py'")) == [("add",)]
+    assert rows(e.sql("SELECT name, file, line FROM functions WHERE has_test = true")) == [("plant", "p/m.py", 2)]
+    assert rows(e.sql("SELECT attached_to FROM comments WHERE file = 'p/m.py'")) == [("plant",)]
     assert rows(e.sql("SELECT file FROM variables WHERE file LIKE 'pkg%'")) == [("pkg/__init__.py",)]
     assert all(e.table(t).columns == s.names for t, s in SCHEMAS.items())
     assert e.select_functions().columns == function_columns()
