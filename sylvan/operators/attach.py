@@ -29,7 +29,8 @@ def following(points: DataFrame, targets: DataFrame, by: list[str], on: str, pay
     later = W.partitionBy(*by, "__b").orderBy(F.col(on).desc())
     both = both.withColumn("__n", F.min("__t").over(later.rowsBetween(W.unboundedPreceding, -1))).withColumn("__f", F.min("__t").over(later.rowsBetween(W.unboundedPreceding, W.currentRow)))
     # one row a stretch: its first target, which stands in the row of its smallest place, then those of all stretches behind it
-    first = both.groupBy(*by, "__b").agg(F.min("__f").alias("__f"))
+    # (asking for __p keeps the columns below the window as they are above, so that both branches share one shuffle)
+    first = both.groupBy(*by, "__b").agg(F.min("__f").alias("__f"), F.max("__p").alias("__p")).where("__p is not null").drop("__p")
     behind = W.partitionBy(*by).orderBy(F.col("__b").desc()).rowsBetween(W.unboundedPreceding, -1)
     beyond = first.withColumn("__m", F.min("__f").over(behind)).where("__m is not null").select(*by, "__b", "__m")
     return both.where("__p").join(beyond, [*by, "__b"], "left").select(*by, on, F.coalesce("__n", "__m").alias(out)).where(F.col(out).isNotNull())
