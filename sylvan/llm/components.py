@@ -103,7 +103,7 @@ def consolidate_pairs(pairs: DataFrame, left: list[str], right: list[str], key:
             new = again.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(key)], F.col("h").alias(name))
             rows = rows.join(new, reduce(lambda x, y: x & y, [F.col(f"`{c}`") == F.col(f"__k{i}") for i, c in enumerate(cols)]), "left").drop(*[f"__k{i}" for i in range(len(key))])
         a, b = F.coalesce("__a", a), F.coalesce("__b", b)
-    edges = rows.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b")
+    edges = rows.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct()  # a pair given very often is one edge
     labels = connected_labels(edges, cell_edges)
     found = records.join(labels, F.col("h") == F.col("v"), "left").select(*key, F.coalesce("label", "h").alias("label"))
     best = found.groupBy("label").agg(F.min(F.struct(*key)).alias("first"))

@@ -271,6 +271,30 @@ def p6_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paired_functions(_code(spark, sf_dir, "comments"), _code(spark, sf_dir, "functions"), _code(spark, sf_dir, "structs"))
 
 
+# A hierarchy made of the parts: part k is a type T<k> that implements T<k / 5>, four types a file, each with two methods
+# of which every seventh type documents one.
+_TYPE = "'made/d' || k // 40 || '/f' || k // 4 || '.rs' AS file, k % 4 * 50 + 10 AS line"
+
+
+@query("p6_inherited", f"""
+WITH RECURSIVE p AS (SELECT p_partkey AS k FROM part),
+up(k, a, depth) AS (SELECT k, k, 0 FROM p UNION ALL SELECT k, a // 5, depth + 1 FROM up WHERE a % 7 <> 0),
+t AS (SELECT k, {_TYPE} FROM p), d AS (SELECT * FROM up WHERE a % 7 = 0)
+SELECT o.file, o.line + 4 AS line, 'draw' AS name, h.line + 3 AS doc_line, 'Draws shape number ' || d.a || ' as its children do.' AS description, h.file AS from_file, h.line + 4 AS from_line, d.depth
+FROM d JOIN t o ON o.k = d.k JOIN t h ON h.k = d.a""")
+def p6_inherited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions with their own or inherited description, over a hierarchy of types that is made of the parts."""
+    k = F.col("p_partkey")
+    t = table(spark, sf_dir, "part").select(k.alias("k"), F.format_string("made/d%d/f%d.rs", F.floor(k / 40), F.floor(k / 4)).alias("file"), (k % 4 * 50 + 10).alias("line"))
+    shift = lambda of, by: of.withColumn("line", F.col("line") + by)
+    structs = t.select("file", "line", F.format_string("T%d", "k").alias("name"), F.when(F.col("k") > 0, F.format_string("shapes::T%d<u8>, `Clone`", F.floor(F.col("k") / 5))).alias("implements"))
+    functions = shift(t, 4).select("file", "line", F.lit("draw").alias("name")).unionByName(shift(t, 9).select("file", "line", F.lit("erase").alias("name")))
+    doc = F.format_string("/// Draws shape number %d as its children do.", "k")
+    comments = shift(t.where("k % 7 = 0"), 3).select("file", "line", doc.alias("text"), F.lit("Shape::draw()").alias("attached_to"), F.lit(True).alias("is_doc"))
+    todo = shift(t.where("k % 7 = 1"), 3).select("file", "line", F.lit("/// TODO {@inheritDoc}").alias("text"), F.lit(None).cast("string").alias("attached_to"), F.lit(True).alias("is_doc"))
+    return paired_functions(comments.unionByName(todo), functions, structs).drop("tags")
+
+
 # --- 5: natural language hidden inside code ---
 
 
