@@ -11,6 +11,8 @@ from pathlib import Path
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEAN = "spark.cleaner.referenceTracking.cleanCheckpoints"
+
 
 def ensure_importable(spark: SparkSession) -> None:
     """Send this package to the Python workers, once a session, unless they run here and find it by themselves."""
@@ -41,12 +43,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if not shared and not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="sylvan-checkpoint-"))
+    if sc.getConf().get(_CLEAN) is None:
+        sc._jsc.sc().conf().set(_CLEAN, "true")  # read whenever a checkpoint is written
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from there; it survives lost executors.
 
-    Spark deletes the files when the frame is no longer used, if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
+    Spark deletes the files when the frame is no longer used, unless the session says otherwise in
+    ``spark.cleaner.referenceTracking.cleanCheckpoints``.
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -148,10 +148,7 @@ def _in_interface(c: Code, i: int) -> bool:
     """A method of an interface, which stands at the start of a line right inside its braces."""
     if not c.new_line(i - 1):
         return False
-    for k in range(i - 1, -1, -1):
-        if c.tok[k] == "{" and c.close(k) > i:
-            return c.word(k - 1, "interface")
-    return False
+    return c.brace[i] >= 0 and c.word(c.brace[i] - 1, "interface")
 
 
 def _statements(c: Code, calls: list[tuple[int, int]]) -> list[int]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 import re
 
 from .rows import Rows
-from .scan import Code, Function, Syntax, put_calls, put_comments, put_function, within
+from .scan import Code, Function, Syntax, covered, put_calls, put_comments, put_function, within
 
 _SYNTAX = Syntax(
     re.compile(
@@ -45,7 +45,7 @@ def extract_rust(text: str, rows: Rows) -> None:
 
     functions, headers = [], set()
     for i in live:
-        if c.word(i, "fn") and c.is_id(i + 1):
+        if c.names[i] == "fn" and c.is_id(i + 1):
             p = _past_generics(c, i + 2)
             if c.at(p) != "(":
                 continue
@@ -65,10 +65,10 @@ def extract_rust(text: str, rows: Rows) -> None:
             functions.append(Function(c.tok[i + 1], first, c.close(body), params, returns, _visible(c, first)))
             headers.update(range(i, body))
 
-    ifs = [(i, _if_end(c, i)) for i in live if c.word(i, "if") and not _guard(c, i)]
+    ifs = [(i, _if_end(c, i)) for i in live if c.names[i] == "if" and not _guard(c, i)]
     matches, arms = [], []
     for i in live:
-        if c.word(i, "match"):
+        if c.names[i] == "match":
             b = _block(c, i + 1)
             if b > 0:
                 matches.append((i, c.close(b)))
@@ -76,15 +76,15 @@ def extract_rust(text: str, rows: Rows) -> None:
     loops = []
     impls = _impl_fors(c)
     for i in live:
-        if c.word(i, "for") and (c.at(i + 1) == "<" or i in impls):
+        if c.names[i] == "for" and (c.at(i + 1) == "<" or i in impls):
             continue
         if c.word(i, "for", "while", "loop"):
             b = _block(c, i + 1)
             if b > 0:
                 loops.append((i, c.close(b)))
     calls = _calls(c, live, headers)
-    returns = [i for i in live if c.word(i, "return")]
-    lets = [i for i in live if c.word(i, "let") and not c.word(i - 1, "if", "while") and c.at(i - 1) != "&&"]
+    returns = [i for i in live if c.names[i] == "return"]
+    lets = [i for i in live if c.names[i] == "let" and not c.word(i - 1, "if", "while") and c.at(i - 1) != "&&"]
     tries = [i for i in live if c.tok[i] == "?" and c.kind[i] == "op"]
     controls = [a for a, _ in (*ifs, *loops, *matches)]
     statements = lets + returns + controls + _statements(c, live, functions)
@@ -259,6 +259,7 @@ def _statements(c: Code, live: list[int], functions: list[Function]) -> list[int
     """Expression statements: an expression with a semicolon, or a block-like one that starts a statement."""
     out = []
     starts = {"{", "}", ";"}
+    inside = covered(len(c.tok), ((f.first + 1, f.last) for f in functions))
     for i in live:
         if c.tok[i] == ";" and c.kind[i] == "op":
             k = i - 1
@@ -269,23 +270,16 @@ def _statements(c: Code, live: list[int], functions: list[Function]) -> list[int
             first = k + 1
             if c.tok[k] == "}" and c.kind[k] == "op":  # the statement may hold a block
                 first = _statement_start(c, i)
-            if first < i and not c.word(first, "let", "use", "const", "static", "pub", "struct", "type", "mod", "extern", "fn") and any(f.first < first <= f.last for f in functions):
-                if not (c.close(_bracket_before(c, i)) > i and c.tok[_bracket_before(c, i)] == "["):
+            if first < i and not c.word(first, "let", "use", "const", "static", "pub", "struct", "type", "mod", "extern", "fn") and inside[first]:
+                if c.around[i] < 0 or c.tok[c.around[i]] != "[":
                     out.append(i)
-        elif c.word(i, "if", "match", "for", "while", "loop", "unsafe") and (c.at(i - 1) in starts) and any(f.first < i <= f.last for f in functions):
+        elif c.word(i, "if", "match", "for", "while", "loop", "unsafe") and (c.at(i - 1) in starts) and inside[i]:
             end = _if_end(c, i) if c.tok[i] == "if" else c.close(_block(c, i)) if _block(c, i) > 0 else i
             if c.at(end + 1) not in (";", ".", "?") and not _guard(c, i):
                 out.append(i)
     return out
 
 
-def _bracket_before(c: Code, i: int) -> int:
-    for k in range(i - 1, -1, -1):
-        if c.kind[k] == "op" and c.tok[k] in ("(", "[", "{") and c.close(k) > i:
-            return k
-    return i
-
-
 def _statement_start(c: Code, i: int) -> int:
     k = i - 1
     while k > 0:
@@ -301,7 +295,7 @@ def _statement_start(c: Code, i: int) -> int:
 def _items(c: Code, rows: Rows, live: list[int], lets: list[int]) -> None:
     structs: dict[str, list] = {}
     for i in live:
-        if c.word(i, "use") and (i == 0 or c.tok[i - 1] in (";", "}", "{", "]", ")") or c.word(i - 1, "pub")):
+        if c.names[i] == "use" and (i == 0 or c.tok[i - 1] in (";", "}", "{", "]", ")") or c.word(i - 1, "pub")):
             end = c.find(i, len(c.tok) - 1, ";")
             first = i
             if c.word(i - 1, "pub"):

@@ -3,7 +3,9 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
+from collections.abc import Iterable
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 from .rows import Rows
 
@@ -34,6 +36,16 @@ class Function:
     skip: set[int] = field(default_factory=set)
 
 
+def covered(n: int, spans: Iterable[tuple[int, int]]) -> list[bool]:
+    """For each of n tokens whether it lies in one of the spans, first to last; in one pass, however many spans there are."""
+    change = [0] * (n + 1)
+    for a, b in spans:
+        if a <= b:
+            change[max(0, a)] += 1
+            change[min(n, b + 1)] -= 1
+    return [depth > 0 for depth in accumulate(change[:n])]
+
+
 class Code:
     """Tokens of a text. ``kind`` is id, num, str or op; keywords are ids that ``word`` tells apart."""
 
@@ -47,6 +59,8 @@ class Code:
         self.breaks = [m.start() for m in re.finditer("\n", text)]
         self._scan(0, len(text), "")
         self.n = len(self.tok)
+        #: Text of every token that is a name or keyword, '' for the others.
+        self.names = [t if k == "id" else "" for k, t in zip(self.kind, self.tok, strict=True)]
         #: Innermost bracket around every token, and innermost brace, or -1; a bracket is not around itself or its partner.
         self.around: list[int] = []
         self.brace: list[int] = []
@@ -63,7 +77,7 @@ class Code:
         return 0 <= i < len(self.tok) and self.kind[i] == "id" and self.tok[i] not in self.syntax.keywords
 
     def word(self, i: int, *words: str) -> bool:
-        return 0 <= i < self.n and self.tok[i] in words and self.kind[i] == "id"
+        return 0 <= i < self.n and self.names[i] in words
 
     def source(self, i: int, j: int) -> str:
         """Text of the tokens i to j."""
@@ -80,28 +94,32 @@ class Code:
         self.end.append(b)
 
     def _scan(self, pos: int, end: int, until: str) -> int:
-        depth, match = 0, self.syntax.pattern.match
+        depth, match, text = 0, self.syntax.pattern.match, self.text
+        kinds, toks, starts, ends = self.kind.append, self.tok.append, self.start.append, self.end.append
         while pos < end:
-            m = match(self.text, pos, end)
+            m = match(text, pos, end)
             if m is None:
                 pos += 1
                 continue
             group, stop = m.lastgroup, m.end()
             if group == "comment":
-                if self.syntax.nested_comments and m[0].startswith("/*"):
+                if self.syntax.nested_comments and text.startswith("/*", pos):
                     stop = self._block_comment(pos)
-                self.comments.append((pos, self.text[pos:stop]))
+                self.comments.append((pos, text[pos:stop]))
             elif group == "tick":
                 stop = self._template(pos, end)
-            elif group == "op" and m[0] == "/" and self.syntax.regexes and (stop := self._regex(pos)) > pos:
-                self._put("str", self.text[pos:stop], pos, stop)
-            elif group in ("str", "num", "id", "op"):
-                stop = m.end()
-                if until and group == "op":
-                    depth += (m[0] == "{") - (m[0] == "}")
+            elif group != "space" and group is not None:
+                tok = m[0]
+                if tok == "/" and self.syntax.regexes and (slash := self._regex(pos)) > pos:
+                    group, stop, tok = "str", slash, text[pos:slash]
+                elif until and group == "op":
+                    depth += (tok == "{") - (tok == "}")
                     if depth < 0:
                         return pos
-                self._put(group, m[0], pos, stop)
+                kinds(group)
+                toks(tok)
+                starts(pos)
+                ends(stop)
             pos = stop
         return end
 

@@ -2,9 +2,10 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 from .rows import Rows
-from .scan import Code, Function, Syntax, put_calls, put_comments, put_function, within
+from .scan import Code, Function, Syntax, covered, put_calls, put_comments, put_function, within
 
 _SYNTAX = Syntax(
     re.compile(
@@ -272,17 +273,20 @@ def _calls(c: Code, headers: set[int], members: set[int]) -> list[tuple[int, int
 
 def _expressions(c: Code, functions: list[Function]) -> list[int]:
     """Statements that are an expression."""
-    out, types = [], _type_bodies(c)
-    for i in range(1, len(c.tok)):
+    out, types, n = [], _type_bodies(c), len(c.tok)
+    inside = covered(n, ((f.first + 1, f.last - 1) for f in functions))
+    braces = [i for i, t in enumerate(c.tok) if t == "{"] + [n]
+    header = covered(n, ((f.first, min(f.last, braces[bisect_left(braces, f.first)] - 1)) for f in functions))
+    for i in range(1, n):
         starts = c.at(i - 1) in (";", "{", "}") or (c.new_line(i) and c.at(i - 1) not in (",", "(", "[", "=", "=>", "&&", "||", "?", ":", "+", "-", ".", "?.", "|", "&") and c.at(i) not in (".", "?.", ")", "]", "}", "?", ":", "&&", "||", ",", "+", "|", "&", "{"))
-        if not starts or not any(f.first < i < f.last for f in functions):
+        if not starts or not inside[i]:
             continue
         if c.is_id(i) or c.word(i, "this", "super", "await", "delete", "new", "yield", "void") or c.at(i) in ("(", "++", "--") or c.kind[i] == "str":
             if c.at(i + 1) == ":" or c.word(i, "type", "interface", "declare", "async") and c.is_id(i + 1):
                 continue
-            if any(f.first <= i <= f.last and c.tok[f.first : i + 1].count("{") == 0 for f in functions):
+            if header[i]:
                 continue
-            k = next((k for k in range(i - 1, -1, -1) if c.kind[k] == "op" and c.tok[k] in ("{", "(", "[", "${") and c.close(k) > i), -1)
+            k = c.around[i]
             if k >= 0 and c.tok[k] == "{" and c.at(k - 1) not in ("=", "(", ",", ":", "[", "return", "?", "import", "export") and k not in types:
                 out.append(i)
     return out
