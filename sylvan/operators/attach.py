@@ -13,21 +13,24 @@ def _known(columns: list[str]) -> Column:
     return reduce(lambda x, c: x & F.col(c).isNotNull(), columns, F.lit(True))
 
 
-def following(points: DataFrame, targets: DataFrame, by: list[str], on: str, payload: list[str], width: int = 8192, out: str = "following") -> DataFrame:
+def following(points: DataFrame, targets: DataFrame, by: list[str], on: str, payload: list[str], width: int | None = 8192, out: str = "following") -> DataFrame:
     """(by, on, out) for every distinct place (by, on) of ``points`` that a row of ``targets`` follows; see attach_following.
 
     Both sides are reduced to one row a place before the shuffle, so a group's stretch of ``width`` values holds at most twice
     as many rows, whatever the number of points and targets in it. One pass over the stretch, sorted descending, so the
-    frame only grows; no pair of rows is ever formed. What lies beyond a stretch comes from one row for each stretch.
+    frame only grows; no pair of rows is ever formed. What lies beyond a stretch comes from one row for each stretch. With
+    ``width`` None a group is one stretch: for ``on`` that has a bound by itself, such as the lines of a file.
     """
     kind = T.StructType([T.StructField(on, T.LongType()), *[T.StructField(p, targets.schema[p].dataType) for p in payload]])
-    bucket = F.floor(F.col(on) / width).alias("__b")
+    bucket = (F.lit(0).cast("long") if width is None else F.floor(F.col(on) / width)).alias("__b")
     at = targets.where(_known([*by, on])).select(*by, on, bucket, F.struct(F.col(on), *payload).cast(kind).alias("__t"))
     places = points.where(_known([*by, on])).select(*by, on, bucket, F.lit(None).cast(kind).alias("__t"))
     both = places.withColumn("__p", F.lit(True)).unionByName(at.withColumn("__p", F.lit(False)))
     both = both.groupBy(*by, "__b", on).agg(F.min("__t").alias("__t"), F.max("__p").alias("__p"))
     later = W.partitionBy(*by, "__b").orderBy(F.col(on).desc())
     both = both.withColumn("__n", F.min("__t").over(later.rowsBetween(W.unboundedPreceding, -1))).withColumn("__f", F.min("__t").over(later.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    if width is None:
+        return both.where("__p").select(*by, on, F.col("__n").alias(out)).where(F.col(out).isNotNull())
     # one row a stretch: its first target, which stands in the row of its smallest place, then those of all stretches behind it
     # (asking for __p keeps the columns below the window as they are above, so that both branches share one shuffle)
     first = both.groupBy(*by, "__b").agg(F.min("__f").alias("__f"), F.max("__p").alias("__p")).where("__p is not null").drop("__p")
@@ -36,7 +39,7 @@ def following(points: DataFrame, targets: DataFrame, by: list[str], on: str, pay
     return both.where("__p").join(beyond, [*by, "__b"], "left").select(*by, on, F.coalesce("__n", "__m").alias(out)).where(F.col(out).isNotNull())
 
 
-def attach_following(points: DataFrame, targets: DataFrame, by: list[str], on: str, payload: list[str], width: int = 8192, out: str = "following") -> DataFrame:
+def attach_following(points: DataFrame, targets: DataFrame, by: list[str], on: str, payload: list[str], width: int | None = 8192, out: str = "following") -> DataFrame:
     """``points`` with a struct ``out`` of (on, *payload) of the nearest row of ``targets`` with equal ``by`` and a strictly larger ``on``; null if none.
 
     ``on`` is a bigint. Targets that tie on ``on`` are ordered by ``payload``, nulls first. A null in ``by`` or ``on`` equals
@@ -57,8 +60,11 @@ def attach_following(points: DataFrame, targets: DataFrame, by: list[str], on: s
 
 
 def attach_comments(comments: DataFrame, functions: DataFrame, structs: DataFrame) -> DataFrame:
-    """Comments with ``attached_to``: name of the nearest function or struct below in the same file, '' if none; a function wins a tie."""
+    """Comments with ``attached_to``: name of the nearest function or struct below in the same file, '' if none; a function wins a tie.
+
+    A window holds two rows for each line of a file at most, however many trees have a file of that path.
+    """
     defs = functions.select("file", "line", F.lit(0).alias("__kind"), "name").unionByName(structs.select("file", "line", F.lit(1).alias("__kind"), "name"))
-    got = attach_following(comments.drop("attached_to"), defs, ["file"], "line", ["__kind", "name"])
+    got = attach_following(comments.drop("attached_to"), defs, ["file"], "line", ["__kind", "name"], None)
     name: Column = F.coalesce("following.name", F.lit(""))
     return got.select(*[name.alias(c) if c == "attached_to" else F.col(c) for c in comments.columns])
