@@ -132,7 +132,7 @@ def descriptions(comments: DataFrame, functions: DataFrame, structs: DataFrame)
     st = structs.where("file is not null and line is not null").select("file", "line", F.lit("").alias("name"), F.lit(1).alias("kind"))
     # by name, and under the empty name whatever comes next
     stops = fn.withColumn("target", F.explode(F.array("name", F.lit("")))).unionByName(st.withColumn("target", F.lit("")))
-    places = following(docs.select("file", "line", "target"), stops, ["file", "target"], "line", ["kind", "name"]).where("following.kind = 0")
+    places = following(docs.select("file", "line", "target"), stops, ["file", "target"], "line", ["kind", "name"], None).where("following.kind = 0")
     texts = docs.groupBy("file", "line", "target").agg(F.collect_set("text").alias("texts"))
     rows = texts.join(places, ["file", "line", "target"]).select(
         "file", F.col("following.line").alias("line"), F.col("following.name").alias("name"), F.col("line").alias("doc_line"), F.array_sort("texts").alias("texts"),
@@ -199,7 +199,7 @@ def paired_functions(comments: DataFrame, functions: DataFrame, structs: DataFra
     fn = functions.where("name is not null and file is not null and line is not null").select(*key).distinct()
     # the owner: nearest struct above, so nearest following on lines counted backwards
     st = structs.where("file is not null and line is not null and name is not null")
-    up = attach_following(fn.withColumn("line", -F.col("line")), st.select("file", (-F.col("line")).alias("line")), ["file"], "line", [])
+    up = attach_following(fn.withColumn("line", -F.col("line")), st.select("file", (-F.col("line")).alias("line")), ["file"], "line", [], None)
     methods = cut(up.where("following is not null").select("file", (-F.col("line")).alias("line"), "name", F.col("file").alias("tfile"), (-F.col("following.line")).alias("tline")))
     first = own.groupBy(*key).agg(F.min("doc_line").alias("doc_line"))
     offers = methods.join(first, key).groupBy("tfile", "tline", "name").agg(F.min(F.struct("line", "doc_line")).alias("o"))
